@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """Write df as a compressed table into the shared checkpoint folder and read it back; then let Spark drop the shuffle files behind it."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-ckpt-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/strandline-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    sc._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v) by alternating large-star and small-star rounds.
 
