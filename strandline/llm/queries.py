@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, simhash
+from . import mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
 
 QUERIES = {
+    "op3_token_counts": token_counts.query,
+    "op4_packing": packing.query,
     "op5_quality_rules": quality_rules.query,
     "op6_simhash": simhash.query,
+    "op7_quality_model": quality_model.query,
     "op8_mixing": mixing.query,
+    "op9_suffix_dedup": suffix_dedup.query,
 }
 
 SQL = {"op5_quality_rules": quality_rules.SQL}
