@@ -203,7 +203,11 @@ def _covered(n: int, hits: list[dict]) -> np.ndarray:
     return flips.reshape(-1, 2)
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(decode: bool):
+    return lambda batches: _cut_batches(batches, decode)
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], decode: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         b, starts = _bytes(batch.column(1))
         hits = batch.column(2).to_pylist()
@@ -217,8 +221,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s, e in found:
                     keep[s:e] = False
                 text = text[keep]
-            kept.append(text.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary()), *(batch.column(k) for k in range(3, batch.num_columns))], ["doc_id", "n_bytes", "spans", "kept", *batch.schema.names[3:]])
+            kept.append(text.tobytes().decode("utf-8", "ignore") if decode else text.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string() if decode else pa.binary()), *(batch.column(k) for k in range(3, batch.num_columns))], ["doc_id", "n_bytes", "spans", "kept", *batch.schema.names[3:]])
 
 
 def hits(docs: DataFrame) -> DataFrame:
@@ -249,19 +253,19 @@ def hits(docs: DataFrame) -> DataFrame:
     return every.groupBy("doc_id", tag).agg(F.collect_list(F.struct("loc", "mask")).alias("hits"))
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) and the columns named in keep: the UTF-8 bytes of docs(doc_id, text) without those covered
     by a 200-byte string that also starts elsewhere in the corpus.
 
     Strings are judged on the input; matches never cross documents; overlaps count. Null text is empty. Repeated rows are
     further copies. An empty table gives no rows. Texts under 200 bytes come back whole. Keys are 64-bit hashes of 139 bytes,
-    confirmed by a second hash of all 200 to 261 bytes or byte by byte.
+    confirmed by a second hash of all 200 to 261 bytes or byte by byte. With decode, kept is text, without the bytes of characters cut in two.
     """
     found = stash(hits(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("tag", "_tag"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 44).alias("_t"), F.col("text").cast("string").alias("text"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keep)])
     d = d.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag")), "left")
     more = "".join(f", _k{n} {docs.schema[k].dataType.simpleString()}" for n, k in enumerate(keep))
-    out = d.select("doc_id", "text", "hits", *[f"_k{n}" for n in range(len(keep))]).mapInArrow(_cut_out, f"doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary{more}")
+    out = d.select("doc_id", "text", "hits", *[f"_k{n}" for n in range(len(keep))]).mapInArrow(_cut_out(decode), f"doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept {'string' if decode else 'binary'}{more}")
     return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col(f"_k{n}").alias(k) for n, k in enumerate(keep)])
 
 
