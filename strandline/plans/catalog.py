@@ -215,7 +215,7 @@ def walk_subpaths(v):
     return S.subpath_lines(v.walks, v.steps, S.node_runs(v.steps, picked(v)))
 
 
-@query("a_seg a_step", f"with {RUNS}, o as (select path_id, string_agg((step_rank % 7) || 'M', ',' order by step_rank) filter (where step_rank > 0) as overlaps from a_step group by 1) select path_id, start_step, array_to_string(list_slice(string_split(overlaps, ','), start_step + 1, start_step + step_count - 1), ',') as cut from runs join o using (path_id)")
+@query("a_seg a_step", f"with {RUNS}, o as (select path_id, string_agg((step_rank % 7) || 'M', ',' order by step_rank) filter (where step_rank > 0) as ov from a_step group by 1) select path_id, start_step, array_to_string(list_slice(string_split(ov, ','), start_step + 1, start_step + step_count - 1), ',') as cut from runs join o using (path_id)")
 def subpath_overlaps(v):
     o = v.steps.where("step_rank > 0").groupBy("path_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("step_rank")), lambda r: F.concat((r % 7).cast("string"), F.lit("M"))), ",").alias("overlaps"))
     return S.node_runs(v.steps, picked(v)).join(o, "path_id").select("path_id", "start_step", S.slice_overlaps(F.col("overlaps"), F.col("start_step"), F.col("step_count")).alias("cut"))
