@@ -229,12 +229,13 @@ def hits(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, hits array<struct<loc, mask>>): per document the anchors of its repeated strings."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 44).alias("tag"), F.col("text").cast("string").alias("text"))
     rows = d.mapInArrow(_emit, "key long, full long, doc_id long, loc long")
-    keys = rows.groupBy("key").count().where("count > 1").select("key")
+    # Written first, so that the join has a shuffle of its own on either side and Spark can split a key that very many strings share.
+    keys = stash(rows.groupBy("key").count().where("count > 1").select("key"))
     found = stash(rows.join(keys, "key").select("key", "full", "doc_id", "loc"))
 
     texts = found.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "loc")).alias("one"))
     texts = stash(texts)
-    mixed = texts.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("key", "m")
+    mixed = stash(texts.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("key", "m"))
     tag = F.shiftrightunsigned("loc", 44).alias("tag")
     open_ = texts.join(mixed, "key").select("key", "one.doc_id", "one.loc", (F.col("n") == 1).alias("single"), "m")
     open_ = open_.groupBy("doc_id", tag).agg(F.collect_list(F.struct("key", "loc", "single", "m")).alias("open"))
