@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .traverse import cut
+from ..plans.lineage import cut
 
 SHARED = -1
 

@@ -30,16 +30,21 @@ def haplotype_runs(located_steps: DataFrame, slices: DataFrame, gap: int | None
     if gap is None:
         other = anchor_bounds(anchors).select("path_id", F.col("first").alias("start_step"), (F.col("last") - F.col("first") + 1).alias("step_count"))
     else:
-        w = Window.partitionBy("path_id").orderBy("step_rank")
-        new = F.when(F.col("s0") - F.lag("s1").over(w) > gap, 1).otherwise(0)
-        a = anchors.select("path_id", "step_rank", "s0", "s1").withColumn("_new", new).withColumn("_c", F.sum("_new").over(w))
-        other = a.groupBy("path_id", "_c").agg(F.min("step_rank").alias("start_step"), F.max("step_rank").alias("_z")).select("path_id", "start_step", (F.col("_z") - F.col("start_step") + 1).alias("step_count"))
+        other = cluster_runs(anchors, gap)
     return exact.unionByName(other)
 
 
+def cluster_runs(anchors: DataFrame, gap: int) -> DataFrame:
+    """Runs of each path's anchors with at most `gap` bases between neighbours: session windows over coordinates."""
+    w = Window.partitionBy("path_id").orderBy("step_rank")
+    new = F.when(F.col("s0") - F.lag("s1").over(w) > gap, 1).otherwise(0)
+    a = anchors.select("path_id", "step_rank", "s0", "s1").withColumn("_new", new).withColumn("_c", F.sum("_new").over(w))
+    return a.groupBy("path_id", "_c").agg(F.min("step_rank").alias("start_step"), F.max("step_rank").alias("_z")).select("path_id", "start_step", (F.col("_z") - F.col("start_step") + 1).alias("step_count"))
+
+
 def run_nodes(steps: DataFrame, runs: DataFrame) -> DataFrame:
     """Distinct nodes of all runs."""
     return run_steps(steps, runs).select("node").distinct()
 
 
-__all__ = ["anchor_bounds", "haplotype_runs", "merge_runs", "node_runs", "reference_runs", "run_nodes"]
+__all__ = ["anchor_bounds", "cluster_runs", "haplotype_runs", "merge_runs", "node_runs", "reference_runs", "run_nodes"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tag_map, tag_value, walk_name
+from ..plans.lineage import cut
 
 MAX_LENGTH = 4294967295
 
@@ -129,8 +130,9 @@ class Graph:
 
 
 def parse(records: DataFrame) -> Graph:
-    lines = parse_path_lines(records)
-    return Graph(parse_segments(records), parse_links(records), parse_paths(lines), parse_steps(lines), parse_headers(records))
+    """Parse once: the tables are written to the session's checkpoint folder, so that later plans start from columns and not from text."""
+    lines = cut(parse_path_lines(records))
+    return Graph(cut(parse_segments(records)), cut(parse_links(records)), parse_paths(lines), cut(parse_steps(lines)), parse_headers(records))
 
 
 def read_graph(spark: SparkSession, path: str | list[str]) -> Graph:
