@@ -93,7 +93,8 @@ def mix(docs: DataFrame, block: int = 32, seed: int = 11, n_shards: int = 64, we
     slots = plan_slots(sources, block, seed, n_shards)
     uses = slots.groupBy(F.col("source").alias("_src"), F.col("index").alias("_ix")).agg(F.count(F.when(F.col("words") == block, 1)).alias("_whole"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("_part"))
     taken = F.col("_whole") * (F.col("_to") - F.col("_from")) + F.greatest(F.least(F.col("_to"), F.coalesce("_part", F.lit(0))) - F.col("_from"), F.lit(0))
-    got = b.join(uses, F.col("source").eqNullSafe(F.col("_src")) & (F.col("index") == F.col("_ix")))
+    # The planner can't see how many slots a source's row unrolls into and would broadcast them.
+    got = b.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("_src")) & (F.col("index") == F.col("_ix")))
     got = got.groupBy(F.col("source").alias("_src"), F.col("_at").alias("_key")).agg(F.sum(taken).alias("_taken"))
     out = d.join(got, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_at") == F.col("_key")) & (F.col("size") > 0), "left")
     t = sources.select(F.col("source").alias("_tsrc"), F.col("target"))
