@@ -21,7 +21,7 @@ from . import anchors as A
 from .common import stash, table
 
 #: Keys with more distinct strings than this are settled by counting their windows' hashes across the cluster instead of in one task.
-GROUP = 1 << 14
+GROUP = 1 << 12
 ALL = -1
 
 
