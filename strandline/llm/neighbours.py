@@ -14,7 +14,7 @@ from .common import cut, table
 DIMENSIONS = 8
 LEAF = 32
 #: Rows of an index block and of a query block.
-ROWS, QUERIES = 16_384, 2_048
+ROWS, QUERIES = 16_384, 16_384
 #: The search of a block ends once a nearer row would have been found already with this probability.
 CONFIDENCE = 0.98
 
