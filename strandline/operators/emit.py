@@ -24,8 +24,11 @@ def graph_lines(graph: Graph, headers: int | None = 1) -> DataFrame:
         parts.append(h.select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("part"), "ordinal", F.col("raw").alias("line")))
     s, links = graph.segments, graph.links
     if graph.communities is not None:
-        s = s.join(graph.communities, "node")
-        links = classify_links(links, graph.communities).withColumn("community_id", F.when(F.col("community_id") == SHARED, F.lit(2**62)).otherwise(F.col("community_id")))
+        if "community_id" not in s.columns:
+            s = s.join(graph.communities, "node")
+        if "community_id" not in links.columns:
+            links = classify_links(links, graph.communities)
+        links = links.withColumn("community_id", F.when(F.col("community_id") == SHARED, F.lit(2**62)).otherwise(F.col("community_id")))
     else:
         s, links = (d.withColumn("community_id", F.lit(0).cast("long")) for d in (s, links))
     for d in (s, links):
