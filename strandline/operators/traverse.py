@@ -38,7 +38,9 @@ def bfs(links: DataFrame, seeds: DataFrame, max_nodes: int | None = None, max_de
         new = new.withColumn("level", F.lit(level)).withColumn("position", (F.row_number().over(Window.orderBy("_by", "node")) - 1 + count).cast("long")).drop("_by")
         frontier = cut(new if max_nodes is None else new.where(F.col("position") < max_nodes))
         frontier_size = frontier.count()
-        found = cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)  # of tables that are cut already; every few levels they are made one
+        if level % 8 == 0:
+            found = cut(found)
         count += frontier_size
     return found
 
