@@ -157,3 +157,29 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"('{label}', {quoted(sorted(set(text.split())))})" for label, text in TEMPLATES)
+    phrases = ", ".join(f"('{label}', {quoted(phrase.split())})" for phrase, label in PHRASES.items())
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+with tpl(label, toks) as (values {templates}), ph(label, p) as (values {phrases}),
+d as (select doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '{word}') as ws from d),
+places as (select doc_id, ph.label, i from w, ph, unnest(range(1, len(ws) + 1)) as r(i) where ws[i] = p[1] and list_slice(ws, i, i + len(p) - 1) = p),
+b as (select doc_id, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word, string_agg(distinct label, ',' order by label) as base_labels, list(distinct label) as bl from places group by doc_id),
+lines as (select doc_id, regexp_extract_all(l, '{word}') as ws from d, unnest(string_split(t, chr(10))) as x(l)),
+blocks as (select row_number() over () as block, doc_id, list_distinct(list_slice(ws, s + 1, s + {BLOCK})) as toks from lines, unnest(case when len(ws) <= {BLOCK} then [0] else range(0, len(ws) - {STEP}, {STEP}) end) as y(s)),
+hit as (select block, doc_id, label, len(list_intersect(blocks.toks, tpl.toks)) / len(tpl.toks) as share from blocks, tpl where len(list_intersect(blocks.toks, tpl.toks)) >= {THRESHOLD} * len(tpl.toks) - 1e-9),
+best as (select doc_id, label, share from (select *, max(share) over (partition by block) as top from hit) where share = top),
+m as (select doc_id, list(distinct label) as ml, max(share) as share from best group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ',') as labels, (case when n_base > 0 then 1.0 else coalesce(share, 0.0) end)::double as score
+from w left join b using (doc_id) left join m using (doc_id)
+"""
+
+
+SQL = _sql()

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_html_text": html_text.query,
 }
 
-SQL = {"op2_neighbours": neighbours.SQL, "op5_quality_rules": quality_rules.SQL}
+SQL = {"op1_licenses": licenses.SQL, "op2_neighbours": neighbours.SQL, "op5_quality_rules": quality_rules.SQL}
