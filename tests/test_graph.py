@@ -284,3 +284,21 @@ def test_gzip_members(spark, tmp_path):
     path.write_bytes(b"".join(gzip.compress(("\n".join(part) + "\n").encode()) for part in (SMALL[:4], SMALL[4:])))
     g = gfa.read_graph(spark, str(path))
     assert g.segments.count() == 3 and g.steps.count() == 6
+
+
+def test_path_tools(spark):
+    g = gfa.parse(gfa.records_of(spark, repeated()))
+    wanted = lambda *x: spark.createDataFrame(list(enumerate(x)), "ordinal long, name string")
+    assert [r.name for r in V.select_names(g.paths, wanted("reverse", "ref")).collect()] == ["reverse", "ref"]
+    for bad in (("ref", "ref"), ("nobody",)):
+        with pytest.raises(ValueError):
+            V.select_names(g.paths, wanted(*bad))
+    with pytest.raises(ValueError):
+        V.seed_node(g.segments)
+    assert V.seed_node(g.segments.where("node = 'A'")) == "A"
+    steps = V.random_paths(spark, g.segments, 3, 5).collect()
+    assert len(steps) == 15 and {r.path_id for r in steps} == {0, 1, 2}
+    assert V.same_nodes(g.segments, g.segments) and not V.same_nodes(g.segments, g.segments.where("node <> 'A'"))
+    assert V.local_region(12, 14, 10, 16) == (2, 4, 3)
+    with pytest.raises(ValueError):
+        V.local_region(9, 14, 10, 16)
