@@ -11,8 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import located
+from ..operators.prefix import located, prefix
 from ..sources.gfa import Graph
+from .lineage import cut
 
 
 def _null(kind: str):
@@ -94,9 +95,8 @@ class Views:
 
     @cached_property
     def event_located(self) -> DataFrame:
-        from ..operators.prefix import prefix
-
-        return prefix(self._events)
+        """Written once, as an index holds it: the haplotype queries read it five times."""
+        return cut(prefix(self._events))
 
 
 SQL_VIEWS = {
