@@ -61,8 +61,9 @@ def plan_slots(sources: DataFrame, block: int, seed: int, n_shards: int) -> Data
     df = df.withColumn("_a", F.element_at(primes, (F.pmod(h, F.size(primes)) + 1).cast("int")) % F.col("_n"))
     df = df.withColumn("_c", F.pmod(F.xxhash64("source", "epoch", F.lit(seed + 1)), F.col("_n")))
     # Slots are made in runs, dealt out anew, then unrolled: no task makes a source's slots alone.
-    run = 4096
-    df = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_slots - 1) div {run}"))).alias("_run")).repartition("source", "epoch", "_run")
+    # The number of parts is given, as the runs' few bytes would have Spark put them all in one.
+    run, parts = 4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_slots - 1) div {run}"))).alias("_run")).repartition(parts, "source", "epoch", "_run")
     df = df.select("*", F.explode(F.sequence(F.col("_run") * run, F.least(F.col("_run") * run + (run - 1), F.col("_slots") - 1))).alias("slot"))
     index = F.pmod(F.col("_a") * F.col("slot") + F.col("_c"), F.col("_n"))
     words = F.when(F.col("epoch") < F.col("_full"), F.lit(block).cast("long")).otherwise(F.least(F.lit(block).cast("long"), F.col("_rest") - F.col("slot") * block))
