@@ -70,13 +70,8 @@ def plan_slots(sources: DataFrame, block: int, seed: int, n_shards: int) -> Data
     return df.select("source", "epoch", "slot", index.alias("index"), words.alias("words"), F.pmod(F.xxhash64("source", "epoch", "slot", F.lit(seed + 2)), F.lit(n_shards)).alias("shard"))
 
 
-def mix(docs: DataFrame, block: int = 32, seed: int = 11, n_shards: int = 64, weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
-    """Per document (doc_id, size, source_size, target, taken) of a mix of docs(doc_id, text, source) to target weights.
-
-    Null text has size 0; a null source is a source of its own; repeated rows are documents of their own, one after another
-    in the stream; empty tables give no rows; other columns are ignored. Reruns agree. taken counts the words the mix reads
-    of the document, repeats counted, at most limit (rounded up to whole passes) times its size.
-    """
+def _laid_out(docs: DataFrame, seed: int, weights: tuple[float, ...], limit: float) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place in their source's stream, (doc_id, source, size, source_size, _at), and (source, source_size, target)."""
     d = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)).cast("int")))
     # Distributed running sums: within a bucket by window, over the at most BUCKETS buckets of a source by a second one.
     sums = d.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
@@ -87,16 +82,39 @@ def mix(docs: DataFrame, block: int = 32, seed: int = 11, n_shards: int = 64, we
     order = Window.partitionBy("source", "_b").orderBy(F.xxhash64("doc_id", F.lit(seed + 7)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("size").over(order), F.lit(0)))
     d = d.join(sums, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_b") == F.col("_bk")), "left").withColumn("_at", F.col("_base") + F.col("_in"))
-    d = cut(d.select("doc_id", "source", "size", "source_size", "_at"))
+    return cut(d.select("doc_id", "source", "size", "source_size", "_at")), sources
+
+
+def _parts(d: DataFrame, sources: DataFrame, block: int, seed: int, n_shards: int) -> DataFrame:
+    """The mix: a row for each part of a document in a slot (see `mixed_blocks`), with the document's _at."""
     # A document's blocks, with the part of each that is the document's; a long document has many, so it is unrolled as rows.
-    b = d.where("size > 0").select("source", "_at", "size", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))).alias("index"))
-    b = b.withColumn("_from", F.greatest(F.col("_at") - F.col("index") * block, F.lit(0))).withColumn("_to", F.least(F.col("_at") + F.col("size") - F.col("index") * block, F.lit(block)))
-    slots = plan_slots(sources, block, seed, n_shards)
-    uses = slots.groupBy(F.col("source").alias("_src"), F.col("index").alias("_ix")).agg(F.count(F.when(F.col("words") == block, 1)).alias("_whole"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("_part"))
-    taken = F.col("_whole") * (F.col("_to") - F.col("_from")) + F.greatest(F.least(F.col("_to"), F.coalesce("_part", F.lit(0))) - F.col("_from"), F.lit(0))
+    b = d.where("size > 0").select("doc_id", F.col("source").alias("_src"), "_at", "size", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))).alias("_ix"))
+    b = b.withColumn("offset", F.greatest(F.col("_at") - F.col("_ix") * block, F.lit(0))).withColumn("_to", F.least(F.col("_at") + F.col("size") - F.col("_ix") * block, F.lit(block)))
+    slots = plan_slots(sources, block, seed, n_shards).withColumnRenamed("words", "_words")
     # The planner can't see how many slots a source's row unrolls into and would broadcast them.
-    got = b.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("_src")) & (F.col("index") == F.col("_ix")))
-    got = got.groupBy(F.col("source").alias("_src"), F.col("_at").alias("_key")).agg(F.sum(taken).alias("_taken"))
+    got = slots.hint("merge").join(b, F.col("source").eqNullSafe(F.col("_src")) & (F.col("index") == F.col("_ix"))).where("offset < _words")
+    start, n = F.col("index") * block + F.col("offset") - F.col("_at"), F.least("_to", "_words") - F.col("offset")
+    return got.select("shard", "source", "epoch", "slot", "index", "offset", "doc_id", start.alias("start"), n.alias("words"), "_at")
+
+
+def mixed_blocks(docs: DataFrame, block: int = 32, seed: int = 11, n_shards: int = 64, weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
+    """The mix of docs(doc_id, text, source) itself: (shard, source, epoch, slot, index, offset, doc_id, start, words).
+
+    A slot of a shard reads block `index` of its source. Each row is a part of it: from word `offset` of the block on, `words`
+    words of the document, from its word `start` on. A slot's rows in order of offset are its block, without a gap.
+    """
+    return _parts(*_laid_out(docs, seed, weights, limit), block, seed, n_shards).drop("_at")
+
+
+def mix(docs: DataFrame, block: int = 32, seed: int = 11, n_shards: int = 64, weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
+    """Per document (doc_id, size, source_size, target, taken) of a mix of docs(doc_id, text, source) to target weights.
+
+    Null text has size 0; a null source is a source of its own; repeated rows are documents of their own, one after another
+    in the stream; empty tables give no rows; other columns are ignored. Reruns agree. taken counts the words of the document
+    in `mixed_blocks`, repeats counted, at most limit (rounded up to whole passes) times its size.
+    """
+    d, sources = _laid_out(docs, seed, weights, limit)
+    got = _parts(d, sources, block, seed, n_shards).groupBy(F.col("source").alias("_src"), F.col("_at").alias("_key")).agg(F.sum("words").alias("_taken"))
     out = d.join(got, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_at") == F.col("_key")) & (F.col("size") > 0), "left")
     t = sources.select(F.col("source").alias("_tsrc"), F.col("target"))
     out = out.join(t, F.col("source").eqNullSafe(F.col("_tsrc")), "left")
@@ -105,3 +123,7 @@ def mix(docs: DataFrame, block: int = 32, seed: int = 11, n_shards: int = 64, we
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_blocks(table(spark, sf_dir, "documents"))

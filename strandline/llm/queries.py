@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_quality_model": quality_model.query,
     "op8_mixing": mixing.query,
+    "op8_mixing_blocks": mixing.blocks_query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_html_text": html_text.query,
 }

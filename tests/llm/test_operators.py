@@ -208,6 +208,36 @@ def test_mixing(spark):
         assert sum(r.taken for r in mine) == pytest.approx(want[s], abs=24) and all(0 <= r.taken <= 3 * r.size for r in mine)
 
 
+def test_mixed_blocks(spark):
+    """The mix itself: slots are whole runs of the stream, parts are words of their documents, and their sums are what mix() counts."""
+    rng = random.Random(5)
+    rows = [(i, None if i == 3 else words(rng, rng.choice((1, 5, 40, 400))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(2000, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").checkpoint()
+    parts = mixing.mixed_blocks(df, block=8, n_shards=4).collect()
+    text = {i: (t or "").split() for i, t, _ in rows}
+    taken: dict = {}
+    slots: dict = {}
+    for r in sorted(parts, key=lambda r: r.offset):
+        part = text[r.doc_id][r.start : r.start + r.words]
+        assert len(part) == r.words > 0
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words
+        got = slots.setdefault((r.source, r.epoch, r.slot), [r.shard, r["index"], []])
+        assert got[:2] == [r.shard, r["index"]] and len(got[2]) == r.offset
+        got[2].extend(part)
+    assert taken == {r.doc_id: r.taken for r in mixing.mix(df, block=8, n_shards=4).collect() if r.taken}
+    # Whole epochs read each word of a source once; a block is the same words in every epoch but for a shortened slot.
+    whole: dict = {}
+    for (s, _, _), (_, i, w) in slots.items():
+        longest = whole.setdefault((s, i), w)
+        assert longest[: len(w)] == w[: len(longest)]
+        whole[s, i] = max(longest, w, key=len)
+    # Shares of each source's slots in the shards are those of independent draws.
+    for s in {s for s, _, _ in slots}:
+        shards = [shard for (x, _, _), (shard, _, _) in slots.items() if x == s]
+        if len(shards) >= 100:
+            assert all(abs(shards.count(k) - len(shards) / 4) < 5 * (len(shards) * 3 / 16) ** 0.5 for k in range(4)), s
+
+
 def test_slots_are_a_permutation(spark):
     s = spark.createDataFrame([("a", 1000, 2300.0), ("b", 17, 10.0)], "source string, source_size long, target double")
     rows = mixing.plan_slots(s, 8, 1, 4).collect()
