@@ -61,19 +61,20 @@ class Tree:
         return (gap * gap).sum(axis=2)
 
 
-def search(ids: np.ndarray, unit: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
-    """Of unit vectors, k neighbours of each query: (row, cosine), padded with (-1, -inf). A query's own id is no neighbour.
+def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
+    """k neighbours of each query: (row, cosine), padded with (-1, -inf). A query's own id is no neighbour; equal cosines go to the smaller id.
 
     Leaves come in order of their projected distance r; each one's rows are verified by their true distance. A query is done
     when chi_square(r^2 / d_k^2) reaches `confidence`, d_k being its k-th true distance so far, or when no leaf is left.
     """
-    a = projection(unit.shape[1])
-    tree = Tree(unit @ a)
+    a = projection(vectors.shape[1])
+    norm, query_norm = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+    tree = Tree(vectors / norm[:, None] @ a)
     n = len(queries)
     best_row, best = np.full((n, k), -1), np.full((n, k), -np.inf)
     for at in range(0, n, 256):
-        q, own = queries[at : at + 256], query_ids[at : at + 256]
-        reach = tree.distances(q @ a)
+        q, q_norm, own = queries[at : at + 256], query_norm[at : at + 256], query_ids[at : at + 256]
+        reach = tree.distances(q / q_norm[:, None] @ a)
         order = np.argsort(reach, axis=1)
         live = np.arange(len(q))
         for step in range(order.shape[1]):
@@ -89,11 +90,13 @@ def search(ids: np.ndarray, unit: np.ndarray, query_ids: np.ndarray, queries: np
             at_row = tree.starts[leaf][:, None] + np.arange(width)
             ok = at_row < tree.stops[leaf][:, None]
             rows = tree.order[np.where(ok, at_row, 0)]
-            score = np.einsum("qd,qwd->qw", q[live], unit[rows])
-            score[~ok | (ids[rows] == own[live][:, None])] = -np.inf
+            # Exactly the measure, on the original vectors in double precision: what is cut here is ranked as in the result.
+            score = np.einsum("qd,qwd->qw", q[live], vectors[rows]) / (q_norm[live][:, None] * norm[rows])
+            none = ~ok | (ids[rows] == own[live][:, None])
+            score[none], rows[none] = -np.inf, -1
             score = np.concatenate([best[at + live], score], axis=1)
             rows = np.concatenate([best_row[at + live], rows], axis=1)
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            top = np.lexsort((ids[rows], -score), axis=1)[:, :k]
             best[at + live] = np.take_along_axis(score, top, axis=1)
             best_row[at + live] = np.take_along_axis(rows, top, axis=1)
     return best_row, best
@@ -116,13 +119,9 @@ def _nearest(k: int, confidence: float):
             return none
         x, q = _scaled(_matrix(rows["v"])), _scaled(_matrix(queries["qv"]))
         ids, qids = rows["id"].to_numpy(), queries["qid"].to_numpy()
-        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-        row, _ = search(ids, unit(x), qids, unit(q), k, confidence)
+        row, score = search(ids, x, qids, q, k, confidence)
         i, j = np.nonzero(row >= 0)
-        found = row[i, j]
-        # Exactly the measure, on the original vectors in double precision.
-        score = np.einsum("ij,ij->i", q[i], x[found]) / (np.linalg.norm(q[i], axis=1) * np.linalg.norm(x[found], axis=1))
-        return pd.DataFrame({"query_id": qids[i], "vec_id": ids[found], "score": score})
+        return pd.DataFrame({"query_id": qids[i], "vec_id": ids[row[i, j]], "score": score[i, j]})
 
     return run
 

@@ -356,6 +356,22 @@ def test_neighbours(spark):
     assert {r.query_id for r in got} == set(range(0, 3000, 50))
 
 
+def test_neighbours_among_copies(spark):
+    """Of many equal scores those of the smallest ids are kept, in a group of far more rows than a leaf holds."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2000, 16))
+    group = np.sort(rng.choice(2000, 300, replace=False))
+    x[group] = x[group[0]]
+    x[group[::3]] *= 2
+    near = x[group[0]] + 0.01 * rng.standard_normal(16)
+    rows = [(int(i), x[i].tolist()) for i in rng.permutation(2000)] + [(2000, near.tolist())]
+    ask = [int(i) for i in group[[0, 1, 7, 150, 299]]] + [2000]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i.isin(ask)).collect()
+    for q in ask:
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert [i for i in mine if i != 2000] == [int(i) for i in group if i != q][: 5 - mine.count(2000)], q
+
+
 def test_chi_square():
     assert neighbours.chi_square(np.array([0.0, 7.344, 15.507, 1e9]), 8) == pytest.approx([0, 0.5, 0.95, 1], abs=1e-3)
 
