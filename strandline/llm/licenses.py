@@ -51,17 +51,24 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
         self.templates = []
+        self.tokens: list[frozenset[bytes]] = []
         self.prefix: dict[bytes, list[int]] = {}
         for k, (label, text) in enumerate(templates):
             tokens = sorted(set(words_of(text.encode())), key=lambda w: (counts.get(w, 0), w))
             need = ceil(threshold * len(tokens) - 1e-9)
             self.templates.append((label, tokens, need))
+            self.tokens.append(frozenset(tokens))
             for w in tokens[: len(tokens) - need + 1]:
                 self.prefix.setdefault(w, []).append(k)
 
     def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
+        for k, share in self.hits(block):
+            yield self.templates[k][0], share
+
+    def hits(self, block: set[bytes]) -> Iterator[tuple[int, float]]:
+        """(template, share) of those that meet the threshold."""
         for k in sorted({k for w in block & self.prefix.keys() for k in self.prefix[w]}):
-            label, tokens, need = self.templates[k]
+            _, tokens, need = self.templates[k]
             if len(block) < need:
                 continue
             first = next(i for i, w in enumerate(tokens) if w in block)
@@ -69,33 +76,65 @@ class Index:
                 continue
             shared = sum(w in block for w in tokens[first:])
             if shared >= need:
-                yield label, shared / len(tokens)
-
-
-def blocks_with(line: list[bytes], at: list[int]) -> list[set[bytes]]:
-    """The blocks of a line (runs of BLOCK words, one every STEP) that hold one of the positions `at`."""
-    if len(line) <= BLOCK:
-        return [set(line)]
-    starts = {s for i in at for s in range(max(0, (i - BLOCK) // STEP * STEP), i + 1, STEP) if s <= i < s + BLOCK and (s == 0 or s + STEP < len(line))}
-    return [set(line[s : s + BLOCK]) for s in sorted(starts)]
+                yield k, shared / len(tokens)
+
+
+def blocks_with(n: int, at: list[int]) -> list[tuple[int, int]]:
+    """The blocks (start, stop) of n words in a row (runs of BLOCK words, one every STEP) that hold one of the positions `at`."""
+    if n <= BLOCK:
+        return [(0, n)]
+    starts = {s for i in at for s in range(max(0, (i - BLOCK) // STEP * STEP), i + 1, STEP) if s <= i < s + BLOCK and (s == 0 or s + STEP < n)}
+    return [(s, min(n, s + BLOCK)) for s in sorted(starts)]
+
+
+def windows(words: list[bytes], tokens: frozenset[bytes], start: int, stop: int) -> list[frozenset[int]]:
+    """Where the tokens stand in each window of words[start:stop] that holds as many different ones as the whole, and no smaller such window."""
+    at = [i for i in range(start, stop) if words[i] in tokens]
+    need = len({words[i] for i in at})
+    held: dict[bytes, int] = {}
+    found, lo, last = [], 0, -1
+    for hi, i in enumerate(at):
+        held[words[i]] = held.get(words[i], 0) + 1
+        while held[words[at[lo]]] > 1:
+            held[words[at[lo]]] -= 1
+            lo += 1
+        if len(held) == need and lo > last:
+            found.append(frozenset(at[lo : hi + 1]))
+            last = lo
+    return found
+
+
+def rivals(words: list[bytes], hits: list[tuple[float, int, int, int]], index: Index) -> dict[str, float]:
+    """Label -> largest share of the hits (share, template, start, stop) that stay: the best first, one goes if over half of the words
+    of each of its shortest windows are those of kept better ones' windows."""
+    found: dict[str, float] = {}
+    kept: dict[int, list[tuple[float, frozenset[int]]]] = {}  # by place
+    for share, k, start, stop in sorted(set(hits), key=lambda h: (-h[0], *h[1:])):
+        mine = windows(words, index.tokens[k], start, stop)
+        least = min(max(w) - min(w) for w in mine)
+        tight = [w for w in mine if max(w) - min(w) == least]
+        if all(any(better > share and 2 * len(w & other) > len(w) for i in w for better, other in kept.get(i, ())) for w in tight):
+            continue
+        whole = share, frozenset().union(*mine)
+        for i in whole[1]:
+            kept.setdefault(i, []).append(whole)
+        label = index.templates[k][0]
+        found[label] = max(found.get(label, 0.0), share)
+    return found
 
 
 def scan_text(text: str | None, index: Index) -> tuple[int, int, int | None, int | None, str, str, float]:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    found: dict[str, float] = {}
     words: list[bytes] = []
+    blocks: list[tuple[int, int]] = []
     prefix = index.prefix
     for part in raw.split(b"\n"):
-        line = _WORD.findall(part)
+        line, base = _WORD.findall(part), len(words)
         words += line
         if not prefix.keys().isdisjoint(line):
-            for block in blocks_with(line, [i for i, w in enumerate(line) if w in prefix]):
-                got = list(index.matches(block))
-                best = max((share for _, share in got), default=0.0)
-                for label, share in got:
-                    if share == best:
-                        found[label] = max(found.get(label, 0.0), share)
+            blocks += [(base + a, base + b) for a, b in blocks_with(len(line), [i for i, w in enumerate(line) if w in prefix])]
+    found = rivals(words, [(share, k, a, b) for a, b in blocks for k, share in index.hits(set(words[a:b]))], index)
     joined = b" " + b" ".join(words) + b" "
     base, places = set(), []
     for phrase, label in PHRASES.items():
@@ -145,7 +184,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     """One row per row of docs(doc_id, text): n_words, the base phrases' places and labels, all labels, and a score.
 
     labels adds to the base labels those of every template of which some block (a line, or 32 words of a longer one, taken
-    every 16) holds at least `threshold` of the distinct tokens; a block that meets several names those it holds most of. score: 1 with a base phrase, else the largest such share, else
+    every 16) holds at least `threshold` of the distinct tokens; of templates
+    met by the same words (over half of the lesser one's shortest window) those held most of. score: 1 with a base phrase, else the largest such share, else
     0. Null and empty texts have no words, no labels and null places; repeated rows are scanned each; an empty table gives no
     rows; other columns are ignored.
     """

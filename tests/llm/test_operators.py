@@ -323,6 +323,17 @@ def test_licenses(docs):
     assert rows[20].n_words == 3
 
 
+def test_license_rivals_share_words():
+    """A better match elsewhere in a block drops no label; a better one on the same words does."""
+    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
+    labels = lambda t: licenses.scan_text(t, index)[5]
+    gpl = "This software is licensed under the GNU General Public License version 2"
+    by = "its documentation is licensed under a Creative Commons Attribution 4.0 International License"
+    assert labels(f"{gpl}; {by}") == "cc-by,gpl-2" and labels(gpl) == "gpl-2" and labels(by) == "cc-by"
+    assert labels(f"{gpl}; {gpl}") == "gpl-2" and labels(f"{gpl}\n{by}") == "cc-by,gpl-2"
+    assert labels("This is licensed under the GNU Lesser General Public License version 3") == "lgpl"
+
+
 def test_license_join_is_exact():
     rng = random.Random(3)
     vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
