@@ -134,6 +134,10 @@ def scan_text(text: str | None, index: Index) -> tuple[int, int, int | None, int
         words += line
         if not prefix.keys().isdisjoint(line):
             blocks += [(base + a, base + b) for a, b in blocks_with(len(line), [i for i, w in enumerate(line) if w in prefix])]
+    # A notice may be wrapped: blocks of the whole text's words too, lines or not.
+    at = [i for i, w in enumerate(words) if w in prefix]
+    if at:
+        blocks += blocks_with(len(words), at)
     found = rivals(words, [(share, k, a, b) for a, b in blocks for k, share in index.hits(set(words[a:b]))], index)
     joined = b" " + b" ".join(words) + b" "
     base, places = set(), []
@@ -183,8 +187,8 @@ def _scan(index: Index):
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): n_words, the base phrases' places and labels, all labels, and a score.
 
-    labels adds to the base labels those of every template of which some block (a line, or 32 words of a longer one, taken
-    every 16) holds at least `threshold` of the distinct tokens; of templates
+    labels adds to the base labels those of every template of which some block (32 words of the text, taken every 16, across lines;
+    or a line, or 32 words of a longer one, taken every 16) holds at least `threshold` of the distinct tokens; of templates
     met by the same words (over half of the lesser one's shortest window) those held most of. score: 1 with a base phrase, else the largest such share, else
     0. Null and empty texts have no words, no labels and null places; repeated rows are scanned each; an empty table gives no
     rows; other columns are ignored.

@@ -334,6 +334,18 @@ def test_license_rivals_share_words():
     assert labels("This is licensed under the GNU Lesser General Public License version 3") == "lgpl"
 
 
+def test_license_notices_across_lines():
+    """Every template is found wherever line breaks fall in it, with text before and after."""
+    rng = random.Random(12)
+    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
+    assert licenses.scan_text("This program is licensed under the GNU\nGeneral Public License version 2", index)[5:] == ("gpl-2", 1.0)
+    for label, t in licenses.TEMPLATES:
+        for _ in range(20):
+            lines = "".join(w + rng.choice([" ", "\n"]) for w in t.split())
+            text = words(rng, rng.randrange(1, 60)) + "\n" + lines + words(rng, rng.randrange(1, 60))
+            assert label in licenses.scan_text(text, index)[5].split(","), text
+
+
 def test_license_join_is_exact():
     rng = random.Random(3)
     vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
