@@ -391,6 +391,12 @@ def bfs_levels(v):
     return X.bfs(v.links, v.spark.createDataFrame([("p0",)], "node string"), max_depth=2, nodes=v.segments).select("node", "level")
 
 
+@query()
+def bfs_all(v):
+    """The search without a limit; recursive SQL over the whole graph would be too slow."""
+    return X.bfs(v.links, v.spark.createDataFrame([("p0",)], "node string"), nodes=v.segments).select("node", "level")
+
+
 @query()
 def bfs_capped(v):
     return X.bfs(v.links, v.spark.createDataFrame([("p0",), ("p7",)], "node string"), max_nodes=100, nodes=v.segments)

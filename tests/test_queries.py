@@ -42,6 +42,35 @@ def test_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def brute_levels(pairs, seed):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    level, edge = {seed: 0}, [seed]
+    while edge:
+        edge = sorted({y for x in edge for y in near.get(x, ())} - level.keys())
+        level |= dict.fromkeys(edge, level[max(level, key=level.get)] + 1)
+    return level
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_bfs_without_limit(spark, monkeypatch):
+    from strandline.plans.views import Views
+
+    pairs = [tuple(r) for r in Views(spark, str(DATA)).links.select("src", "dst").distinct().collect()]
+    got = {r.node: r.level for r in catalog.QUERIES["bfs_all"](spark, str(DATA)).collect()}
+    assert got == brute_levels(pairs, "p0")
+    # A graph of more than two levels: a long chain with a branch, and a part that can't be reached.
+    chain = [(f"p{i}", f"p{i + 1}") for i in range(12)] + [("p3", "x"), ("x", "y"), ("far", "away")]
+    links = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(chain)], "src string, dst string, ordinal long").checkpoint()
+    nodes = spark.createDataFrame([(n,) for n in sorted({n for e in chain for n in e})], "node string").checkpoint()
+    monkeypatch.setattr(Views, "links", links)
+    monkeypatch.setattr(Views, "segments", nodes)
+    got = {r.node: r.level for r in catalog.QUERIES["bfs_all"](spark, str(DATA)).collect()}
+    assert got == brute_levels(chain, "p0") and max(got.values()) == 12
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "haplotype_region" in entry.queries()
