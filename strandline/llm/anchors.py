@@ -18,29 +18,31 @@ SIDE = LAST - FIRST
 SEGMENT = 1 << 19
 MARGIN = 1 << 10
 
-_TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+#: Two independent families of hashes: a table of the bytes and a base each.
+_TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1) for seed in (7, 8)]
+_BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+def powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the family's base and of its inverse, modulo 2**64."""
+    if family not in _powers or len(_powers[family][0]) < n:
         size = max(n, SEGMENT + 2 * MARGIN + 64)
-        up, down = (np.full(size, x, dtype=np.uint64) for x in (_BASE, _INVERSE))
+        up, down = (np.full(size, x, dtype=np.uint64) for x in (_BASES[family], pow(_BASES[family], -1, 1 << 64)))
         up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _powers[0][:n], _powers[1][:n]
+        _powers[family] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    up, down = _powers[family]
+    return up[:n], down[:n]
 
 
 class Hashes:
     """Hashes of any substrings of a buffer: differences of a running sum of table[byte] * base**i, modulo 2**64."""
 
-    def __init__(self, b: np.ndarray):
-        up, self.down = powers(len(b) + 1)
+    def __init__(self, b: np.ndarray, family: int = 0):
+        up, self.down = powers(len(b) + 1, family)
         self.sums = np.empty(len(b) + 1, dtype=np.uint64)
         self.sums[0] = 0
-        np.cumsum(_TABLE[b] * up[:-1], out=self.sums[1:])
+        np.cumsum(_TABLES[family][b] * up[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.down[start]
@@ -88,5 +90,5 @@ def anchor_rows(b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     ok = least <= most
     x, t, least, most = x[ok], t[ok], least[ok], most[ok]
     key = mixed(hashes.of(x - BEFORE, x + AFTER))
-    full = mixed(hashes.of(x - most, x - least + SPAN) + (most * 256 + least).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    full = mixed(Hashes(b, 1).of(x - most, x - least + SPAN) + (most * 256 + least).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return t, x, key, full, least, most

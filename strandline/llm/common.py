@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -15,22 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eagerly checkpoint into the shared folder of spark.checkpoint.dir; a private folder only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, that of spark.checkpoint.dir. Where none is set, a local session (tests) gets a folder of its own; on a
+    cluster that is an error, as a folder of one machine would lose its contents with it."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandline-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eagerly checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write df as a compressed table into the shared checkpoint folder and read it back; then let Spark drop the shuffle files behind it."""
+    """Write df as a compressed table into the shared folder and read it back; then let Spark drop the shuffle files behind it. The table is deleted when the application ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-ckpt-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/strandline-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/strandline-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     gc.collect()
     sc._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

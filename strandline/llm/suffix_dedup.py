@@ -22,6 +22,8 @@ from .common import stash, table
 
 #: Keys with more distinct strings than this are settled by counting their windows' hashes across the cluster instead of in one task.
 GROUP = 1 << 12
+#: A string that occurs more often than this is joined back in parts, as many as this goes into its key's count, at most SALTS.
+HOT, SALTS = 1 << 12, 1 << 10
 ALL = -1
 
 
@@ -225,15 +227,31 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], decode: bool) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string() if decode else pa.binary()), *(batch.column(k) for k in range(3, batch.num_columns))], ["doc_id", "n_bytes", "spans", "kept", *batch.schema.names[3:]])
 
 
+def _repeated(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, loc, mask = ALL) of the anchors whose whole string occurs twice or more.
+
+    Rows of a key that is not hot meet their strings by an ordinary join. Those of a hot key are first held against the hot
+    strings (at most of_key / HOT of them a key), dealt over the key's parts, and only the rest goes through the ordinary join:
+    no string brings more rows into a task than of_key / SALTS or HOT, whichever is more.
+    """
+    parts = F.least(F.lit(SALTS), F.ceil(F.col("of_key") / HOT)).cast("int")
+    cold, hot = found.where(F.col("of_key") <= HOT), found.where(F.col("of_key") > HOT)
+    often = texts.where((F.col("n") > HOT)).select(F.col("key").alias("_k"), F.col("full").alias("_f"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
+    hot = hot.withColumn("part", F.pmod(F.xxhash64("doc_id", "loc"), parts).cast("int"))
+    hot = hot.join(often, (F.col("key") == F.col("_k")) & (F.col("full") == F.col("_f")) & (F.col("part") == F.col("_p")), "left")
+    rest = cold.unionByName(hot.where("_k is null").select(*cold.columns)).join(texts.where(f"n > 1 and n <= {HOT}").select("key", "full"), ["key", "full"])
+    return hot.where("_k is not null").select("doc_id", "loc").unionByName(rest.select("doc_id", "loc")).withColumn("mask", F.lit(ALL).cast("long"))
+
+
 def hits(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, hits array<struct<loc, mask>>): per document the anchors of its repeated strings."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 44).alias("tag"), F.col("text").cast("string").alias("text"))
     rows = d.mapInArrow(_emit, "key long, full long, doc_id long, loc long")
     # Written first, so that the join has a shuffle of its own on either side and Spark can split a key that very many strings share.
-    keys = stash(rows.groupBy("key").count().where("count > 1").select("key"))
-    found = stash(rows.join(keys, "key").select("key", "full", "doc_id", "loc"))
+    keys = stash(rows.groupBy("key").agg(F.count("*").alias("of_key")).where("of_key > 1"))
+    found = stash(rows.join(keys, "key").select("key", "full", "doc_id", "loc", "of_key"))
 
-    texts = found.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "loc")).alias("one"))
+    texts = found.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "loc")).alias("one"), F.max("of_key").alias("of_key"))
     texts = stash(texts)
     mixed = stash(texts.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("key", "m"))
     tag = F.shiftrightunsigned("loc", 44).alias("tag")
@@ -249,8 +267,7 @@ def hits(docs: DataFrame) -> DataFrame:
     shared = windows.groupBy("w").count().where("count > 1").select("w")
     large = windows.where("single").join(shared, "w").groupBy("doc_id", "loc").agg(F.sum(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
-    whole = found.join(texts.where("n > 1").select("key", "full"), ["key", "full"]).select("doc_id", "loc", F.lit(ALL).cast("long").alias("mask"))
-    every = whole.unionByName(small).unionByName(large)
+    every = _repeated(found, texts).unionByName(small).unionByName(large)
     return every.groupBy("doc_id", tag).agg(F.collect_list(F.struct("loc", "mask")).alias("hits"))
 
 
@@ -260,7 +277,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), decode: bool = F
 
     Strings are judged on the input; matches never cross documents; overlaps count. Null text is empty. Repeated rows are
     further copies. An empty table gives no rows. Texts under 200 bytes come back whole. Keys are 64-bit hashes of 139 bytes,
-    confirmed by a second hash of all 200 to 261 bytes or byte by byte. With decode, kept is text, without the bytes of characters cut in two.
+    confirmed by an independent 64-bit hash of all 200 to 261 bytes or byte by byte. With decode, kept is text, without the bytes of characters cut in two.
     """
     found = stash(hits(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("tag", "_tag"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 44).alias("_t"), F.col("text").cast("string").alias("text"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keep)])
