@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Documents of a source whose places in its stream are summed up in one task.
-RUN = 65_536
+#: Documents of a source whose places in its stream are summed up in one task: this, or the root of their number if that is more.
+RUN = 2048
 #: Targets are counted in blocks by whole numbers of this part, so that no sum depends on its order.
 UNIT = 1024
 #: Rounds of the permutation, and the prime modulus of its round functions.
@@ -130,13 +130,12 @@ def plan_slots(sources: DataFrame, block: int, seed: int, shard: int, limit: flo
 def _laid_out(docs: DataFrame, weights: tuple[float, ...], limit: float) -> tuple[DataFrame, DataFrame]:
     """Documents with their place in their source's stream, (doc_id, source, size, source_size, _at), and (source, source_size, target).
 
-    A source's documents come by 48 bits of a digest of their ids, then by id and size. Runs of that order, about RUN
-    documents each, are summed up by windows of their own and the runs' sums by a second one.
+    A source's documents come by 48 bits of a digest of their ids, then by id and size. Runs of that order are summed up by windows of their own and the runs' sums by a second one.
     """
     key = _number(_digest(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12)
     d = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("_h", key))
     n = d.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n"))
-    d = d.join(n, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_b", F.expr(f"_h div ({1 << 48}L div ((_n + {RUN - 1}) div {RUN}) + 1)")).drop("_s", "_n")
+    d = d.join(n, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_b", F.expr(f"_h div ({1 << 48}L div cast(ceil(_n / greatest({RUN}, sqrt(_n))) as bigint) + 1)")).drop("_s", "_n")
     sums = d.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
     per = Window.partitionBy("source")
     sums = cut(sums.select(F.col("source").alias("_src"), F.col("_b").alias("_bk"), F.coalesce(F.sum("_s").over(per.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_s").over(per).alias("source_size")))
