@@ -23,7 +23,7 @@ from .common import stash, table
 #: Keys with more distinct strings than this are settled by counting their windows' hashes across the cluster instead of in one task.
 GROUP = 1 << 12
 #: A string that occurs more often than this is joined back in parts, as many as this goes into its key's count, at most SALTS.
-HOT, SALTS = 1 << 12, 1 << 10
+HOT, SALTS = 1 << 10, 1 << 10
 ALL = -1
 
 
@@ -236,11 +236,11 @@ def _repeated(found: DataFrame, texts: DataFrame) -> DataFrame:
     """
     parts = F.least(F.lit(SALTS), F.ceil(F.col("of_key") / HOT)).cast("int")
     cold, hot = found.where(F.col("of_key") <= HOT), found.where(F.col("of_key") > HOT)
-    often = texts.where((F.col("n") > HOT)).select(F.col("key").alias("_k"), F.col("full").alias("_f"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
+    often = texts.where(F.col("n") > HOT).select("key", "full", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     hot = hot.withColumn("part", F.pmod(F.xxhash64("doc_id", "loc"), parts).cast("int"))
-    hot = hot.join(often, (F.col("key") == F.col("_k")) & (F.col("full") == F.col("_f")) & (F.col("part") == F.col("_p")), "left")
-    rest = cold.unionByName(hot.where("_k is null").select(*cold.columns)).join(texts.where(f"n > 1 and n <= {HOT}").select("key", "full"), ["key", "full"])
-    return hot.where("_k is not null").select("doc_id", "loc").unionByName(rest.select("doc_id", "loc")).withColumn("mask", F.lit(ALL).cast("long"))
+    on = ["key", "full", "part"]
+    rest = cold.unionByName(hot.join(often, on, "left_anti").select(*cold.columns)).join(texts.where(f"n > 1 and n <= {HOT}").select("key", "full"), on[:2], "left_semi")
+    return hot.join(often, on, "left_semi").select("doc_id", "loc").unionByName(rest.select("doc_id", "loc")).withColumn("mask", F.lit(ALL).cast("long"))
 
 
 def hits(docs: DataFrame) -> DataFrame:
