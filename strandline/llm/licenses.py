@@ -14,24 +14,60 @@ from .common import table
 
 #: Base: a phrase's words in a row.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: The method's templates, of at most STEP words: short notices by which works name their license.
+#: The method's templates: short notices by which works name their license, and the notices and permissions that licenses ask to be kept.
 TEMPLATES = [
     ("mit", "this software is released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2", "this program is licensed under the gnu general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "this library is licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl", "this work is licensed under the gnu lesser general public license version 3"),
+    ("lgpl", "licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", "this work is licensed under the gnu affero general public license version 3"),
     ("agpl-3", "licensed under the gnu affero general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-]
-BLOCK, STEP = 32, 16
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without"
+        " limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following"
+        " conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright"
+        " notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the"
+        " documentation and or other materials provided with the distribution",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at unless required by applicable law or agreed"
+        " to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language"
+        " governing permissions and limitations under the license",
+    ),
+    *(
+        (
+            label,
+            f"this {what} is free software you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free software foundation either version {version} of the"
+            f" license or at your option any later version this {what} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a"
+            f" particular purpose see the gnu {kind} public license for more details",
+        )
+        for label, what, kind, version in (
+            ("gpl-2", "program", "general", "2"), ("gpl-3", "program", "general", "3"), ("lgpl", "library", "lesser general", "2 1"), ("lgpl", "library", "lesser general", "3"), ("agpl-3", "program", "affero general", "3"),
+        )
+    ),
+]
+#: Templates of at most STEP words are looked for in blocks of BLOCK words, one every STEP: each notice lies whole in some block.
+SIZES = [(32, 16), (512, 256)]
 THRESHOLD = 0.8
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -79,12 +115,49 @@ class Index:
                 yield k, shared / len(tokens)
 
 
-def blocks_with(n: int, at: list[int]) -> list[tuple[int, int]]:
-    """The blocks (start, stop) of n words in a row (runs of BLOCK words, one every STEP) that hold one of the positions `at`."""
-    if n <= BLOCK:
+class Scanner:
+    """An index for each of SIZES; a template belongs to the first whose step is no less than its words."""
+
+    def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
+        longest = max((len(words_of(t.encode())) for _, t in templates), default=0)
+        if longest > SIZES[-1][1]:
+            raise ValueError(f"a template of {longest} words: the longest blocks take {SIZES[-1][1]}")
+        size = lambda t: next(k for k, (_, step) in enumerate(SIZES) if len(words_of(t.encode())) <= step)
+        self.sizes = [(block, step, Index([x for x in templates if size(x[1]) == k], counts, threshold)) for k, (block, step) in enumerate(SIZES)]
+
+    def hits(self, words: list[bytes]) -> list[Hit]:
+        """Every block's every template that meets the threshold."""
+        out = []
+        for block, step, index in self.sizes:
+            if index.prefix.keys().isdisjoint(words):
+                continue
+            at = [i for i, w in enumerate(words) if w in index.prefix]
+            for a, b in blocks_with(len(words), at, block, step):
+                for k, share in index.hits(set(words[a:b])):
+                    label, tokens, _ = index.templates[k]
+                    out.append(Hit(label, round(share * len(tokens)), share, windows(words, index.tokens[k], a, b)))
+        return out
+
+
+class Hit:
+    """A template's match in a block: how many tokens it shares, their part of the template, and where they stand (see `windows`)."""
+
+    def __init__(self, label: str, shared: int, share: float, found: list[frozenset[int]]):
+        self.label, self.shared, self.share = label, shared, share
+        least = min(max(w) - min(w) for w in found)
+        self.tight = [w for w in found if max(w) - min(w) == least]
+        self.places = frozenset().union(*found)
+
+    def better(self, other: Hit) -> bool:
+        return (self.shared, self.share) > (other.shared, other.share)
+
+
+def blocks_with(n: int, at: list[int], block: int, step: int) -> list[tuple[int, int]]:
+    """The blocks (start, stop) of n words in a row (runs of `block` words, one every `step`) that hold one of the positions `at`."""
+    if n <= block:
         return [(0, n)]
-    starts = {s for i in at for s in range(max(0, (i - BLOCK) // STEP * STEP), i + 1, STEP) if s <= i < s + BLOCK and (s == 0 or s + STEP < n)}
-    return [(s, min(n, s + BLOCK)) for s in sorted(starts)]
+    starts = {s for i in at for s in range(max(0, (i - block) // step * step), i + 1, step) if s <= i < s + block and (s == 0 or s + step < n)}
+    return [(s, min(n, s + block)) for s in sorted(starts)]
 
 
 def windows(words: list[bytes], tokens: frozenset[bytes], start: int, stop: int) -> list[frozenset[int]]:
@@ -104,48 +177,33 @@ def windows(words: list[bytes], tokens: frozenset[bytes], start: int, stop: int)
     return found
 
 
-def rivals(words: list[bytes], hits: list[tuple[float, int, int, int]], index: Index) -> dict[str, float]:
-    """Label -> largest share of the hits (share, template, start, stop) that stay: the best first, one goes if over half of the words
-    of each of its shortest windows are those of kept better ones' windows."""
+def rivals(hits: list[Hit]) -> dict[str, float]:
+    """Label -> largest share of the hits that stay: one goes if over half of the words of each of its shortest windows are among those of a
+    better hit, that is one that shares more tokens, or as many and a larger part of its template."""
+    by_place: dict[int, list[int]] = {}
+    for k, h in enumerate(hits):
+        for i in h.places:
+            by_place.setdefault(i, []).append(k)
     found: dict[str, float] = {}
-    kept: dict[int, list[tuple[float, frozenset[int]]]] = {}  # by place
-    for share, k, start, stop in sorted(set(hits), key=lambda h: (-h[0], *h[1:])):
-        mine = windows(words, index.tokens[k], start, stop)
-        least = min(max(w) - min(w) for w in mine)
-        tight = [w for w in mine if max(w) - min(w) == least]
-        if all(any(better > share and 2 * len(w & other) > len(w) for i in w for better, other in kept.get(i, ())) for w in tight):
-            continue
-        whole = share, frozenset().union(*mine)
-        for i in whole[1]:
-            kept.setdefault(i, []).append(whole)
-        label = index.templates[k][0]
-        found[label] = max(found.get(label, 0.0), share)
+    for h in hits:
+        if not all(any(2 * len(w & hits[k].places) > len(w) for k in {k for i in w for k in by_place[i]} if hits[k].better(h)) for w in h.tight):
+            found[h.label] = max(found.get(h.label, 0.0), h.share)
     return found
 
 
-def scan_text(text: str | None, index: Index) -> tuple[int, int, int | None, int | None, str, str, float]:
+def scan_text(text: str | None, scanner: Scanner) -> tuple[int, int, int | None, int | None, str, str, float]:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    words: list[bytes] = []
-    blocks: list[tuple[int, int]] = []
-    prefix = index.prefix
-    for part in raw.split(b"\n"):
-        line, base = _WORD.findall(part), len(words)
-        words += line
-        if not prefix.keys().isdisjoint(line):
-            blocks += [(base + a, base + b) for a, b in blocks_with(len(line), [i for i, w in enumerate(line) if w in prefix])]
-    # A notice may be wrapped: blocks of the whole text's words too, lines or not.
-    at = [i for i, w in enumerate(words) if w in prefix]
-    if at:
-        blocks += blocks_with(len(words), at)
-    found = rivals(words, [(share, k, a, b) for a, b in blocks for k, share in index.hits(set(words[a:b]))], index)
+    words = words_of((text or "").encode("utf-8", "surrogatepass"))
+    found = rivals(scanner.hits(words))
     joined = b" " + b" ".join(words) + b" "
     base, places = set(), []
     for phrase, label in PHRASES.items():
         p = b" " + phrase.encode() + b" "
-        at = joined.find(p)
+        at, done, n = joined.find(p), 0, 0
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            n += joined.count(b" ", done, at)
+            done = at
+            places.append(n)
             base.add(label)
             at = joined.find(p, at + 1)
     score = 1.0 if base else max(found.values(), default=0.0)
@@ -171,13 +229,13 @@ def token_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[byte
     return {r.token.encode(): r.n for r in rows}
 
 
-def _scan(index: Index):
+def _scan(scanner: Scanner):
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [scan_text(t.as_py(), index) for t in b.column(1)]
+            rows = [scan_text(t.as_py(), scanner) for t in b.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names)
 
@@ -187,16 +245,16 @@ def _scan(index: Index):
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): n_words, the base phrases' places and labels, all labels, and a score.
 
-    labels adds to the base labels those of every template of which some block (32 words of the text, taken every 16, across lines;
-    or a line, or 32 words of a longer one, taken every 16) holds at least `threshold` of the distinct tokens; of templates
-    met by the same words (over half of the lesser one's shortest window) those held most of. score: 1 with a base phrase, else the largest such share, else
+    labels adds to the base labels those of every template of which some block of the text's words, lines or not (32 words, one every 16, for
+    templates of up to 16 words; 512 every 256 for those of up to 256), holds at least `threshold` of the distinct tokens,
+    unless a better match accounts for the same words (see `rivals`). score: 1 with a base phrase, else the largest such share, else
     0. Null and empty texts have no words, no labels and null places; repeated rows are scanned each; an empty table gives no
     rows; other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
-    index = Index(templates, token_counts(docs, templates), threshold)
+    scanner = Scanner(templates, token_counts(docs, templates), threshold)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_scan(index), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return d.mapInArrow(_scan(scanner), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,24 +263,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    templates = ", ".join(f"('{label}', {quoted(sorted(set(text.split())))})" for label, text in TEMPLATES)
+    size = lambda t: next(k for k, (_, step) in enumerate(SIZES) if len(t.split()) <= step)
+    templates = ", ".join(f"({n}, {size(text)}, '{label}', {quoted(sorted(set(text.split())))})" for n, (label, text) in enumerate(TEMPLATES))
+    sizes = ", ".join(f"({k}, {block}, {step})" for k, (block, step) in enumerate(SIZES))
     phrases = ", ".join(f"('{label}', {quoted(phrase.split())})" for phrase, label in PHRASES.items())
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-with tpl(label, toks) as (values {templates}), ph(label, p) as (values {phrases}),
-d as (select doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') as t from documents),
-w as (select doc_id, t, regexp_extract_all(t, '{word}') as ws from d),
-places as (select doc_id, ph.label, i from w, ph, unnest(range(1, len(ws) + 1)) as r(i) where ws[i] = p[1] and list_slice(ws, i, i + len(p) - 1) = p),
-b as (select doc_id, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word, string_agg(distinct label, ',' order by label) as base_labels, list(distinct label) as bl from places group by doc_id),
-lines as (select doc_id, regexp_extract_all(l, '{word}') as ws from d, unnest(string_split(t, chr(10))) as x(l)),
-blocks as (select row_number() over () as block, doc_id, list_distinct(list_slice(ws, s + 1, s + {BLOCK})) as toks from lines, unnest(case when len(ws) <= {BLOCK} then [0] else range(0, len(ws) - {STEP}, {STEP}) end) as y(s)),
-hit as (select block, doc_id, label, len(list_intersect(blocks.toks, tpl.toks)) / len(tpl.toks) as share from blocks, tpl where len(list_intersect(blocks.toks, tpl.toks)) >= {THRESHOLD} * len(tpl.toks) - 1e-9),
-best as (select doc_id, label, share from (select *, max(share) over (partition by block) as top from hit) where share = top),
-m as (select doc_id, list(distinct label) as ml, max(share) as share from best group by doc_id)
+with tpl(tid, size, label, toks) as (values {templates}), sz(size, block, step) as (values {sizes}), ph(label, p) as (values {phrases}),
+w as materialized (select row_number() over () as doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{word}') as ws from documents),
+places as (select doc, ph.label, i from w, ph, unnest(range(1, len(ws) + 1)) as r(i) where ws[i] = p[1] and list_slice(ws, i, i + len(p) - 1) = p),
+b as (select doc, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word, string_agg(distinct label, ',' order by label) as base_labels, list(distinct label) as bl from places group by doc),
+blocks as (select doc, size, ws, s, least(len(ws), s + block) as e, list_distinct(list_slice(ws, s + 1, s + block)) as held from w, sz, unnest(case when len(ws) <= block then [0] else range(0, len(ws) - step, step) end) as y(s)),
+hit as materialized (select row_number() over () as hit, doc, label, toks, ws, s, e, len(list_intersect(held, toks)) as shared, len(list_intersect(held, toks)) / len(toks) as share
+ from blocks join tpl using (size) where len(list_intersect(held, toks)) >= {THRESHOLD} * len(toks) - 1e-9),
+pos as materialized (select hit, shared, i, ws[i + 1] as tok from hit, unnest(range(s, e)) as r(i) where list_contains(toks, ws[i + 1])),
+nexts as (select a.hit, a.shared, a.i as lo, b.tok, min(b.i) as i from pos a join pos b on a.hit = b.hit and b.i >= a.i group by all),
+wins as (select hit, lo, max(i) as hi from nexts group by hit, shared, lo having count(*) = shared),
+least_wins as materialized (select *, min(hi - lo) over (partition by hit) as tight from (select *, lead(hi) over (partition by hit order by lo) as nx from wins) where nx is null or nx > hi),
+held as materialized (select distinct hit, i from least_wins join pos using (hit) where i between lo and hi),
+mine as materialized (select hit, lo, i, count(*) over (partition by hit, lo) as n from least_wins join pos using (hit) where hi - lo = tight and i between lo and hi),
+pairs as (select a.hit, b.hit as other from hit a join hit b on a.doc = b.doc and (b.shared > a.shared or b.shared = a.shared and b.share > a.share)),
+covered as (select mine.hit, lo from mine join pairs using (hit) join held on held.hit = pairs.other and held.i = mine.i group by mine.hit, lo, n, pairs.other having 2 * count(*) > n),
+m as (select doc, list(distinct label) as ml, max(share) as share from hit where hit in (select hit from (select hit, lo from mine except select hit, lo from covered)) group by doc)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels,
  array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ',') as labels, (case when n_base > 0 then 1.0 else coalesce(share, 0.0) end)::double as score
-from w left join b using (doc_id) left join m using (doc_id)
+from w left join b using (doc) left join m using (doc)
 """
 
 

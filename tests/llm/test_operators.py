@@ -83,6 +83,7 @@ def test_suffix_dedup_large_groups(spark, monkeypatch):
     spans = lambda: [[(s.start, s.stop) for s in r.spans] for r in by_id(suffix_dedup.remove_repeats(df))]
     assert spans() == want
     monkeypatch.setattr(suffix_dedup, "GROUP", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
     assert spans() == want
 
 
@@ -169,11 +170,33 @@ def test_quality_rules(docs):
         assert g.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and (not g.kept or not g.base_failed)
 
 
-def test_host_rates_shrink(spark):
-    rows = [("big", i % 10 == 0) for i in range(1000)] + [("tiny", True)] + [("bad", i % 10 != 0) for i in range(500)] + [(None, False)] * 30
-    got = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
-    assert got["bad"].host_failed and not got["big"].host_failed and not got[None].host_failed
-    assert 0.3 < got["tiny"].rate < 1 and got["big"].rate == pytest.approx(0.1, abs=0.02)
+def test_host_verdicts(spark):
+    """`kept` by brute force: rates of each rule by host, shrunk by a prior, decide; a document that breaks nothing stays."""
+    rng = random.Random(7)
+    clean = lambda: words(rng, 40)
+    spoilt = lambda: words(rng, 40) + " ### $$$ %%%"
+    rows = [("good" if i % 2 else None, spoilt() if i % 25 == 0 else clean()) for i in range(300)] + [("bad", spoilt() if i % 2 else clean()) for i in range(60)] + [("tiny", spoilt())]
+    rows = [(i, h, t, "x", 1) for i, (h, t) in enumerate(rows)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string, rate string, host int")).collect()
+    hosts: dict = {}
+    breaks = {}
+    for i, h, t, *_ in rows:
+        breaks[i] = {"symbols"} if 20 * sum(c in "#*$%&|<>" for c in t) > len(t.split()) else set()
+        n = hosts.setdefault(h, [0, 0])
+        n[0] += 1
+        n[1] += bool(breaks[i])
+    p = [f / n for n, f in hosts.values()]
+    mean, v = np.mean(p), np.var(p, ddof=1)
+    beyond = max(v - mean * (1 - mean) * np.mean([1 / n for n, _ in hosts.values()]), 0)
+    k = min(max(mean * (1 - mean) / beyond - 1 if beyond else 1000, 2), 1000)
+    fails = {h: (f + mean * k) / (n + k) > max(quality_rules.EXCESS * mean, quality_rules.LEAST) for h, (n, f) in hosts.items()}
+    assert sum(fails.values()) in (0, 1, 2)
+    for r in got:
+        assert r.kept == (not r.base_failed and not (fails[rows[r.doc_id][1]] and breaks[r.doc_id])), r
+    verdicts = spark.createDataFrame([("big", "r", 1000, 100), ("bad", "r", 500, 450), ("tiny", "r", 1, 1), (None, "r", 30, 0), *((f"h{i}", "r", 100, 8) for i in range(20))], "host string, rule string, n_docs long, n_failed long")
+    of = {r.host: r for r in quality_rules.host_verdicts(verdicts).collect()}
+    assert of["bad"].rule_failed and not of["big"].rule_failed and not of[None].rule_failed
+    assert 0.1 < of["tiny"].rate < 1 and of["big"].rate == pytest.approx(0.1, abs=0.02)
 
 
 def targets(size: dict[str, int], limit: float = 3.0) -> dict[str, float]:
@@ -205,7 +228,7 @@ def test_mixing(spark):
     for s in size:
         mine = [r for r in got if r.source == s]
         assert {r.source_size for r in mine} == {size[s]} and mine[0].target == pytest.approx(want[s])
-        assert sum(r.taken for r in mine) == pytest.approx(want[s], abs=24) and all(0 <= r.taken <= 3 * r.size for r in mine)
+        assert sum(r.taken for r in mine) == pytest.approx(want[s], abs=100) and all(0 <= r.taken <= 3 * r.size for r in mine)
 
 
 def test_mixed_blocks(spark):
@@ -213,7 +236,7 @@ def test_mixed_blocks(spark):
     rng = random.Random(5)
     rows = [(i, None if i == 3 else words(rng, rng.choice((1, 5, 40, 400))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(2000, "", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").checkpoint()
-    parts = mixing.mixed_blocks(df, block=8, n_shards=4).collect()
+    parts = mixing.mixed_blocks(df, block=8, shard=512).collect()
     text = {i: (t or "").split() for i, t, _ in rows}
     taken: dict = {}
     slots: dict = {}
@@ -224,28 +247,56 @@ def test_mixed_blocks(spark):
         got = slots.setdefault((r.source, r.epoch, r.slot), [r.shard, r["index"], []])
         assert got[:2] == [r.shard, r["index"]] and len(got[2]) == r.offset
         got[2].extend(part)
-    assert taken == {r.doc_id: r.taken for r in mixing.mix(df, block=8, n_shards=4).collect() if r.taken}
-    # Whole epochs read each word of a source once; a block is the same words in every epoch but for a shortened slot.
+    assert taken == {r.doc_id: r.taken for r in mixing.mix(df, block=8, shard=512).collect() if r.taken}
+    # A block is the same words on every pass; a pass reads each block once at most.
     whole: dict = {}
     for (s, _, _), (_, i, w) in slots.items():
-        longest = whole.setdefault((s, i), w)
-        assert longest[: len(w)] == w[: len(longest)]
-        whole[s, i] = max(longest, w, key=len)
-    # Shares of each source's slots in the shards are those of independent draws.
-    for s in {s for s, _, _ in slots}:
-        shards = [shard for (x, _, _), (shard, _, _) in slots.items() if x == s]
-        if len(shards) >= 100:
-            assert all(abs(shards.count(k) - len(shards) / 4) < 5 * (len(shards) * 3 / 16) ** 0.5 for k in range(4)), s
+        assert whole.setdefault((s, i), w) == w
+    passes = [(s, e, i) for (s, e, _), (_, i, _) in slots.items()]
+    assert len(passes) == len(set(passes))
+    # Every shard but the last is full, and its counts are those of the plan give or take what is drawn.
+    size: dict = {}
+    for shard, _, _ in slots.values():
+        size[shard] = size.get(shard, 0) + 1
+    assert all(size[k] == 512 for k in range(max(size))) and max(size) >= 3
+
+
+def test_mixing_same_as_sql(spark):
+    """Against SQL that makes the draws, the permutation and the stream without partial sums, with null and clashing columns, repeated rows and tiny sources."""
+    import duckdb
+
+    rng = random.Random(15)
+    rows = [(i, None if i == 3 else words(rng, rng.choice((1, 5, 40, 400))), rng.choice(["a", "a", "a", "a", "b", "c", "d", None]), i, 1, i) for i in range(500)]
+    rows += [(1000, "only one", "z", 0, 0, 0), (1, "again", "a", 0, 0, 0), (1, "again", "a", 0, 0, 0), (None, "no id here", "a", 0, 0, 0), (2000, "", "y", 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, slot int, target int").checkpoint()
+    c = duckdb.connect()
+    c.register("documents", df.select("doc_id", "text", "source").toArrow())
+    key = lambda r: tuple((x is None, x) for x in r)
+    for ours, blocks, names in ((mixing.mix, False, "doc_id, size, source_size, target, taken"), (mixing.mixed_blocks, True, "shard, source, epoch, slot, index, offset, doc_id, start, words")):
+        want = c.execute(f'select {names.replace("index", chr(34) + "index" + chr(34)).replace("offset", chr(34) + "offset" + chr(34))} from ({mixing._sql(blocks, 8, 3, 300)})').fetchall()
+        got = [tuple(r) for r in ours(df, block=8, seed=3, shard=300).select(*names.split(", ")).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
 
 
 def test_slots_are_a_permutation(spark):
-    s = spark.createDataFrame([("a", 1000, 2300.0), ("b", 17, 10.0)], "source string, source_size long, target double")
-    rows = mixing.plan_slots(s, 8, 1, 4).collect()
+    s = spark.createDataFrame([("a", 1000, 3000.0), ("b", 17, 10.0), ("c", 5000, 3007.0)], "source string, source_size long, target double")
+    rows = mixing.plan_slots(s, 8, 1, 100).collect()
     for e in (0, 1):
         assert sorted(r["index"] for r in rows if r.source == "a" and r.epoch == e) == list(range(125))
     last = [r["index"] for r in rows if r.source == "a" and r.epoch == 2]
-    assert len(last) == len(set(last)) == 38 and sum(r.words for r in rows if r.epoch == 2) == 300
-    assert {r.shard for r in rows} == {0, 1, 2, 3}
+    assert len(last) == len(set(last)) >= 115 and not [r for r in rows if r.epoch > 2]
+    part = [r["index"] for r in sorted((r for r in rows if r.source == "c"), key=lambda r: r.slot)]
+    assert len(part) == len(set(part)) == pytest.approx(376, abs=12) and len({(y - x) % 625 for x, y in zip(part, part[1:])}) > 150
+    assert {r.shard for r in rows} == set(range(8))
+
+
+def test_shard_counts_are_drawn(spark):
+    """Over many shards the counts have the expectations of the plan and vary like independent draws of the slots that are left over."""
+    s = spark.createDataFrame([("a", 80_000, 80_000.0 / 3), ("b", 80_000, 80_000.0 / 3), ("c", 80_000, 80_000.0 / 3)], "source string, source_size long, target double")
+    n = {(r.source, r.shard): r.n for r in mixing.shard_counts(s, 8, 4, 1, 3.0).collect()}
+    a = [n.get(("a", k), 0) for k in range(2500)]
+    assert set(a) == {1, 2} and sum(a) / len(a) == pytest.approx(4 / 3, abs=0.05)
+    assert sum(n.values()) == 10_000 and n != {(r.source, r.shard): r.n for r in mixing.shard_counts(s, 8, 4, 2, 3.0).collect()}
 
 
 def test_packing(docs):
@@ -325,25 +376,30 @@ def test_licenses(docs):
 
 def test_license_rivals_share_words():
     """A better match elsewhere in a block drops no label; a better one on the same words does."""
-    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
-    labels = lambda t: licenses.scan_text(t, index)[5]
+    scanner = licenses.Scanner(licenses.TEMPLATES, {}, 0.8)
+    labels = lambda t: licenses.scan_text(t, scanner)[5]
     gpl = "This software is licensed under the GNU General Public License version 2"
     by = "its documentation is licensed under a Creative Commons Attribution 4.0 International License"
     assert labels(f"{gpl}; {by}") == "cc-by,gpl-2" and labels(gpl) == "gpl-2" and labels(by) == "cc-by"
     assert labels(f"{gpl}; {gpl}") == "gpl-2" and labels(f"{gpl}\n{by}") == "cc-by,gpl-2"
     assert labels("This is licensed under the GNU Lesser General Public License version 3") == "lgpl"
+    assert labels("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License") == "cc-by-sa"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    assert labels(f"{isc} Licensed under the GNU Lesser General License version 3") == "isc,lgpl"
 
 
 def test_license_notices_across_lines():
-    """Every template is found wherever line breaks fall in it, with text before and after."""
+    """Every template is found under its own label alone wherever line breaks fall in it, with text before and after, and with a tenth of its words spoilt."""
     rng = random.Random(12)
-    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
-    assert licenses.scan_text("This program is licensed under the GNU\nGeneral Public License version 2", index)[5:] == ("gpl-2", 1.0)
+    scanner = licenses.Scanner(licenses.TEMPLATES, {}, 0.8)
+    assert licenses.scan_text("This program is licensed under the GNU\nGeneral Public License version 2", scanner)[5:] == ("gpl-2", 1.0)
     for label, t in licenses.TEMPLATES:
         for _ in range(20):
             lines = "".join(w + rng.choice([" ", "\n"]) for w in t.split())
-            text = words(rng, rng.randrange(1, 60)) + "\n" + lines + words(rng, rng.randrange(1, 60))
-            assert label in licenses.scan_text(text, index)[5].split(","), text
+            text = words(rng, rng.randrange(1, 60)) + "\n" + lines + words(rng, rng.randrange(1, 400))
+            assert licenses.scan_text(text, scanner)[5] == label, text
+    with pytest.raises(ValueError):
+        licenses.Scanner([("long", " ".join(map(str, range(300))))], {}, 0.8)
 
 
 def test_license_join_is_exact():
@@ -358,6 +414,29 @@ def test_license_join_is_exact():
         assert set(index.matches(block)) == want
 
 
+def test_licenses_same_as_sql():
+    """Texts made of whole, spoilt and wrapped notices, against the SQL, which compares every block with every template."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            notice = [w if rng.random() > 0.06 else "spoilt" for w in rng.choice(licenses.TEMPLATES)[1].split()]
+            parts.append(rng.choice("\n ").join(notice) if rng.random() < 0.5 else " ".join(rng.choice(["a", "the", "license", "stone", "public"]) for _ in range(rng.randrange(1, 40))))
+        rows.append((i, rng.choice([" ", "\n", ". "]).join(parts)))
+    rows += [(300, None), (301, ""), (302, "Under the MIT License under the MIT license")] + rows[:2]
+    scanner = licenses.Scanner(licenses.TEMPLATES, {}, 0.8)
+    got = sorted(((i, *licenses.scan_text(t, scanner)) for i, t in rows), key=lambda r: r[0])
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = c.execute(f"select doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score from ({licenses.SQL}) order by doc_id").fetchall()
+    assert [r[:7] for r in got] == [r[:7] for r in want] and [r[7] for r in got] == pytest.approx([r[7] for r in want])
+    assert len({r[6] for r in got}) > 12
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.standard_normal((3000, 16)), 2)
@@ -395,6 +474,30 @@ def test_neighbours_among_copies(spark):
         assert [i for i in mine if i != 2000] == [int(i) for i in group if i != q][: 5 - mine.count(2000)], q
 
 
+def test_neighbours_in_cells(spark, monkeypatch):
+    """Many cells and blocks, a cell that one vector fills, clustered rows: recall stays, fewer than all rows are verified, columns may clash."""
+    monkeypatch.setattr(neighbours, "ROWS", 200)
+    monkeypatch.setattr(neighbours, "SAMPLE", 500)
+    monkeypatch.setattr(neighbours, "QUERIES", 20)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 16))[rng.integers(0, 40, 2400)] + 0.3 * rng.standard_normal((2400, 16))
+    x[:700] = x[0]
+    rows = [(int(i), x[i].tolist(), 1, 2.0, 3) for i in rng.permutation(2400)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int, known double, part int"), lambda i: i % 50 == 0).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 2400, 50):
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -9
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == [1, 2, 3, 4, 5]
+        hit += sum(np.round(r.score, 11) >= np.round(np.sort(s)[-5], 11) for r in mine)
+    assert hit / (48 * 5) >= 0.9
+    ids = np.arange(2400)
+    q = ids[ids % 50 == 0]
+    assert neighbours.search(ids, x, q, x[q], 5)[2] < 0.7 * len(q) * 2400
+
+
 def test_chi_square():
     assert neighbours.chi_square(np.array([0.0, 7.344, 15.507, 1e9]), 8) == pytest.approx([0, 0.5, 0.95, 1], abs=1e-3)
 
@@ -411,6 +514,42 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+BODY = "".join(f"<p>Paragraph {i} of the text, long enough to count for something and without links, so that it is dense.</p>" for i in range(6))
+
+
+def test_html_density_decides():
+    """No article element, no role, no class: the densest subtree is the text, and all of it is, short parts and lists too."""
+    menu = "<div>" + "".join(f"<span><a href={i}>Item {i}</a></span>" for i in range(8)) + "</div>"
+    page = f"<html><body>{menu}<div>Buy now.</div><div><h1>Title</h1>{BODY}<p>Short.</p><ul><li><a href=1>Reference one</a><li><a href=2>Reference two</a></ul></div><div>{menu}Some firm</div></body></html>"
+    lines = html_text.main_text(page).split("\n")
+    assert lines[0] == "Title" and lines[-3:] == ["Short.", "Reference one", "Reference two"] and len(lines) == 10
+    parts = f"<div id=x>{menu}<div><section><h2>One</h2>{BODY}</section><section><h2>Two</h2>{BODY}</section></div></div>"
+    assert html_text.main_text(parts).split("\n")[::7] == ["One", "Two"]
+
+
+def test_html_roles_are_whole_names():
+    drop = lambda c: "kept words" not in html_text.main_text(f"<body><article>{BODY}<div class='{c}'><p>kept words</p></div></article>")
+    assert all(map(drop, ("ad", "cookie-notice", "comments", "comment-list", "x sidebar", "site-footer", "related-posts", "AD-SLOT")))
+    assert not any(map(drop, ("share-price-table", "notice-board", "advice", "header-image-caption", "commentary", "")))
+    assert html_text.main_text(f"<head><title>t</title><body><main>{BODY}<div hidden>x</div><div role=navigation>y</div><p style='display: none'>z</p></main>").count("\n") == 5
+
+
+def test_html_time_is_linear():
+    """A megabyte of each kind of broken markup, after a paragraph that stays."""
+    import time
+
+    for unit in ("<a ", "<p title='", '<p title="', "<div>", '<a "x>"', "</div>", "<b></b>", "<ul><li><div>", "<li><p>", "&amp", "<!-- ", "<script x ", "<svg>x</svg", "<", "<a b='>'", "<p><span class=ad>"):
+        page = "<body><p>Some text that stays.</p>" + unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        assert html_text.main_text(page).startswith("Some text that stays."), unit
+        assert time.process_time() - began < 40, unit
+
+
+@pytest.mark.parametrize("html", ["<div" * 50, "</" * 9, "<p></p" * 9, "a<b", "<![CDATA[x", "<!doctype", "<table><td>x<tr><td>y", "\x00<p>\ud800</p>", "<p>x<article>", "&#x110000;&bogus;", "<body><body><p>x</body></body>y"])
+def test_html_odd_pages(html):
+    assert isinstance(html_text.main_text(html), str)
+
+
 def test_classifier(spark):
     rng = random.Random(1)
     good = [(words(rng, rng.randrange(20, 200)), 1) for _ in range(150)]
