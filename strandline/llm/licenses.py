@@ -144,12 +144,12 @@ class Hit:
 
     def __init__(self, label: str, shared: int, share: float, found: list[frozenset[int]]):
         self.label, self.shared, self.share = label, shared, share
-        least = min(max(w) - min(w) for w in found)
-        self.tight = [w for w in found if max(w) - min(w) == least]
+        self.span = min(max(w) - min(w) for w in found)
+        self.tight = [w for w in found if max(w) - min(w) == self.span]
         self.places = frozenset().union(*found)
 
     def better(self, other: Hit) -> bool:
-        return (self.shared, self.share) > (other.shared, other.share)
+        return (self.shared, self.share, -self.span) > (other.shared, other.share, -other.span)
 
 
 def blocks_with(n: int, at: list[int], block: int, step: int) -> list[tuple[int, int]]:
@@ -179,7 +179,7 @@ def windows(words: list[bytes], tokens: frozenset[bytes], start: int, stop: int)
 
 def rivals(hits: list[Hit]) -> dict[str, float]:
     """Label -> largest share of the hits that stay: one goes if over half of the words of each of its shortest windows are among those of a
-    better hit, that is one that shares more tokens, or as many and a larger part of its template."""
+    better hit, that is one that shares more tokens, or as many and a larger part of its template, or as large a part in fewer words."""
     by_place: dict[int, list[int]] = {}
     for k, h in enumerate(hits):
         for i in h.places:
@@ -283,7 +283,8 @@ wins as (select hit, lo, max(i) as hi from nexts group by hit, shared, lo having
 least_wins as materialized (select *, min(hi - lo) over (partition by hit) as tight from (select *, lead(hi) over (partition by hit order by lo) as nx from wins) where nx is null or nx > hi),
 held as materialized (select distinct hit, i from least_wins join pos using (hit) where i between lo and hi),
 mine as materialized (select hit, lo, i, count(*) over (partition by hit, lo) as n from least_wins join pos using (hit) where hi - lo = tight and i between lo and hi),
-pairs as (select a.hit, b.hit as other from hit a join hit b on a.doc = b.doc and (b.shared > a.shared or b.shared = a.shared and b.share > a.share)),
+spans as (select hit, doc, shared, share, min(tight) as span from hit join least_wins using (hit) group by all),
+pairs as (select a.hit, b.hit as other from spans a join spans b on a.doc = b.doc and (b.shared > a.shared or b.shared = a.shared and (b.share > a.share or b.share = a.share and b.span < a.span))),
 covered as (select mine.hit, lo from mine join pairs using (hit) join held on held.hit = pairs.other and held.i = mine.i group by mine.hit, lo, n, pairs.other having 2 * count(*) > n),
 m as (select doc, list(distinct label) as ml, max(share) as share from hit where hit in (select hit from (select hit, lo from mine except select hit, lo from covered)) group by doc)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels,
