@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, table
@@ -44,19 +44,24 @@ def _fingerprint_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), b.column(2)], ["doc_id", "fp", "text_key"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): SimHash of the whole text over shingles of `size` words, repeats included.
+    """(doc_id, fp, text_key): SimHash of the whole text over shingles of `size` words, repeats included.
 
     ASCII letters are lower-cased; words are [^\\x20\\x09-\\x0D]+; a text with fewer words is one shingle; a text without words
     (empty or null) has fingerprint 0. A bit is 1 if set in more than half of the shingles' XXH64 (seed 42). fp is the signed view.
+    text_key is a 64-bit hash by which the row can be found again (see `text_key`).
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_fingerprint_batches(size), "doc_id long, fp long")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
+    return d.mapInArrow(_fingerprint_batches(size), "doc_id long, fp long, text_key long")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"), F.col("text").isNull())
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -184,6 +189,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return d.mapInArrow(_link_groups(radius), "u long, v long")
 
 
+def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """fps(fp, low), distinct in fp -> (fp, root, low): root names the component of fp."""
+    comp = cut(components(fingerprint_links(fps.select("fp"), radius)))
+    return fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "low")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """One row per row of docs: (doc_id, fingerprint, component_id).
 
@@ -192,14 +203,23 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     no rows; further columns are ignored.
     """
     d = cut(fingerprints(docs, size))
-    fps = cut(d.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    comp = cut(components(fingerprint_links(fps.select("fp"), radius)))
-    root = fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "low")
+    root = groups(cut(d.groupBy("fp").agg(F.min("doc_id").alias("low"))), radius)
     least = root.groupBy("root").agg(F.min("low").alias("component_id"))
     named = root.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     out = d.join(named, d.fp == named._fp)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, text_key), one row per group of near duplicates: its smallest doc_id, null last; of texts that share the id the one of least key.
+
+    Groups are those of `near_duplicates`, but by fingerprint, so that rows of one doc_id, or of none, may be in different ones.
+    """
+    d = fingerprints(docs, size)
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("low")
+    root = groups(cut(d.groupBy("fp").agg(low)), radius)
+    return root.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.text_key")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
