@@ -18,4 +18,4 @@ QUERIES = {
     "op10_html_text": html_text.query,
 }
 
-SQL = {"op1_licenses": licenses.SQL, "op2_neighbours": neighbours.SQL, "op5_quality_rules": quality_rules.SQL}
+SQL = {"op1_licenses": licenses.SQL, "op2_neighbours": neighbours.SQL, "op5_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL, "op8_mixing_blocks": mixing.BLOCKS_SQL}
