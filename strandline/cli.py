@@ -48,7 +48,11 @@ def parser() -> argparse.ArgumentParser:
     p = command("index_coordinates", "index", "out")
     p.add_argument("--reference")
     p.add_argument("--path_names_file")
-    p = command("get_region", "index", "region", "out")
+    p = command("get_region", "index")
+    p.add_argument("region", nargs="?")
+    p.add_argument("out", nargs="?")
+    p.add_argument("--print_path_names", "--list_coordinates", action="store_true", help="list what can be queried, and stop")
+    p.add_argument("--no_header", action="store_true")
     p.add_argument("--reference")
     p.add_argument("--tracks", help="folder that index_coordinates wrote")
     p.add_argument("--max_nodes", type=int, default=10_000)
@@ -61,9 +65,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no_header", action="store_true")
     p = command("bfs", "index", "node")
     p.add_argument("size", type=int, nargs="?", default=100)
+    p.add_argument("--out", help="write the subgraph of the nodes found to this file instead of listing them")
     return top
 
 
+def _list_coordinates(g: G.GenomeGraph, header: bool) -> None:
+    df = g.list_coordinates()
+    if header:
+        print("\t".join(df.columns))
+    for row in df.orderBy(*df.columns[:5]).toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in row))
+
+
 def _show(df, *order: str) -> None:
     for row in df.orderBy(*order).select("line").toLocalIterator():
         print(row.line)
@@ -107,19 +120,25 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         t, e = g.index_coordinates(a.reference, chosen)
         t.write.mode("error").parquet(f"{a.out}/tracks")
         e.repartitionByRange("track_id", "start").sortWithinPartitions("track_id", "start").write.mode("error").parquet(f"{a.out}/entries")
+    elif a.command == "get_region" and a.print_path_names:
+        _list_coordinates(_loaded(spark, a), not a.no_header)
     elif a.command == "get_region":
+        if not a.region or not a.out:
+            raise ValueError("give a region and an output file")
         lines, warnings = _loaded(spark, a).get_region(a.region, a.reference, a.all_haplotypes, a.haplotype_gap, a.max_nodes, not a.no_paths, a.with_coords)
         for w in warnings:
             print(f"warning: {w}", file=sys.stderr)
         emit.write_file(lines, a.out)
     elif a.command == "list_coordinates":
-        df = _loaded(spark, a).list_coordinates()
-        if not a.no_header:
-            print("\t".join(df.columns))
-        for row in df.orderBy(*df.columns[:5]).toLocalIterator():
-            print("\t".join("" if x is None else str(x) for x in row))
+        _list_coordinates(_loaded(spark, a), not a.no_header)
     elif a.command == "bfs":
-        print("\n".join(_loaded(spark, a).bfs(a.node, a.size)))
+        g = _loaded(spark, a)
+        found = g.bfs(a.node, a.size)
+        if a.out:
+            nodes = spark.createDataFrame([(n,) for n in found], "node string")
+            emit.write_file(emit.subgraph_lines(g.graph, nodes, paths=False), a.out)
+        else:
+            print("\n".join(found))
     return 0
 
 

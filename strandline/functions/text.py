@@ -86,5 +86,5 @@ def parse_gap(text: str | None) -> int | None:
         return None
     m = re.fullmatch(r"([0-9][0-9,]*)([a-zA-Z]*)", text)
     if not m or m[2].lower() not in _UNITS:
-        raise ValueError(f"not a gap size: {text!r}")
+        raise ValueError(f"Invalid --haplotype_gap: {text!r}")
     return checked_int(str(int(m[1].replace(",", "")) * _UNITS[m[2].lower()]))

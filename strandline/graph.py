@@ -93,7 +93,7 @@ class GenomeGraph:
         """(lines, warnings) of a region: its nodes' neighbourhood, or all paths that share nodes with it."""
         gap = parse_gap(haplotype_gap)
         if gap is not None and not all_haplotypes:
-            raise ValueError("haplotype_gap goes with all_haplotypes")
+            raise ValueError("--haplotype_gap requires --all_haplotypes")
         slices, warnings = self.region_slices(region, reference)
         if not all_haplotypes:
             return self.get_subgraph(slices.select("node").distinct(), max_nodes, paths, with_coords), warnings

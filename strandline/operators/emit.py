@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.gfa import Graph
 from .communities import SHARED, classify_links
-from .subpaths import full_lines, located_subpath_lines, node_runs, subpath_lines
+from .subpaths import full_lines, located_lines, located_subpath_lines, node_runs, posting_runs, subpath_lines
 from .traverse import induced_links, induced_segments
 
 SECTIONS = {"H": 0, "G": 1, "P": 2}
@@ -46,8 +46,11 @@ def subgraph_lines(graph: Graph, nodes: DataFrame, runs: DataFrame | None = None
     out = graph_lines(part)
     if not paths:
         return out
-    runs = node_runs(graph.steps, nodes) if runs is None else runs
-    lines = located_subpath_lines(graph.paths, located_steps, runs).drop("has_coordinates") if located_steps is not None else subpath_lines(graph.paths, graph.steps, runs)
+    if located_steps is None:
+        lines = subpath_lines(graph.paths, graph.steps, node_runs(graph.steps, nodes) if runs is None else runs)
+    else:
+        lines = located_lines(graph.paths, posting_runs(located_steps, nodes)) if runs is None else located_subpath_lines(graph.paths, located_steps, runs)
+        lines = lines.drop("has_coordinates")
     return out.unionByName(lines.select(F.lit(2).alias("section"), F.col("path_id").alias("part"), F.col("start_step").alias("ordinal"), "line"))
 
 

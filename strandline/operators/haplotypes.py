@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .subpaths import merge_runs, node_runs, run_steps
+from .subpaths import STRIDE, merge_runs, node_runs, run_steps, step_islands
 
 
 def reference_runs(slices: DataFrame) -> DataFrame:
     """Exact runs of the reference paths, from their slices(path_id, step_rank); adjacent ones are one run."""
-    w = Window.partitionBy("path_id").orderBy("step_rank")
-    s = slices.select("path_id", "step_rank").distinct().withColumn("_g", F.col("step_rank") - F.row_number().over(w))
-    return s.groupBy("path_id", "_g").agg(F.min("step_rank").alias("start_step"), F.count("*").alias("step_count")).select("path_id", "start_step", "step_count")
+    return step_islands(slices.select("path_id", "step_rank").distinct())
 
 
 def anchor_bounds(anchors: DataFrame) -> DataFrame:
@@ -25,7 +23,7 @@ def haplotype_runs(located_steps: DataFrame, slices: DataFrame, gap: int | None
     slices' nodes the steps from its first visit to its last or, with a gap, each cluster of visits with at most `gap` bases
     between neighbours. Clusters of one visit count."""
     exact = reference_runs(slices)
-    nodes = located_steps.join(exact.select(F.col("path_id").alias("_p"), "start_step", "step_count"), (F.col("path_id") == F.col("_p")) & (F.col("step_rank") >= F.col("start_step")) & (F.col("step_rank") < F.col("start_step") + F.col("step_count"))).select("node").distinct()
+    nodes = run_nodes(located_steps, exact)
     anchors = located_steps.join(nodes, "node", "left_semi").join(exact.select("path_id").distinct(), "path_id", "left_anti")
     if gap is None:
         other = anchor_bounds(anchors).select("path_id", F.col("first").alias("start_step"), (F.col("last") - F.col("first") + 1).alias("step_count"))
@@ -34,12 +32,23 @@ def haplotype_runs(located_steps: DataFrame, slices: DataFrame, gap: int | None
     return exact.unionByName(other)
 
 
-def cluster_runs(anchors: DataFrame, gap: int) -> DataFrame:
-    """Runs of each path's anchors with at most `gap` bases between neighbours: session windows over coordinates."""
-    w = Window.partitionBy("path_id").orderBy("step_rank")
-    new = F.when(F.col("s0") - F.lag("s1").over(w) > gap, 1).otherwise(0)
-    a = anchors.select("path_id", "step_rank", "s0", "s1").withColumn("_new", new).withColumn("_c", F.sum("_new").over(w))
-    return a.groupBy("path_id", "_c").agg(F.min("step_rank").alias("start_step"), F.max("step_rank").alias("_z")).select("path_id", "start_step", (F.col("_z") - F.col("start_step") + 1).alias("step_count"))
+def cluster_runs(anchors: DataFrame, gap: int, stride: int = STRIDE) -> DataFrame:
+    """Runs of each path's anchors with at most `gap` bases between neighbours: session windows over coordinates.
+
+    Clusters are formed in strides of a path; only the first and the last one of a stride can belong with one of another, so only
+    those meet in one window by path.
+    """
+    w = Window.partitionBy("path_id", "_k").orderBy("step_rank")
+    a = anchors.select("path_id", "step_rank", "s0", "s1", F.expr(f"step_rank div {stride}L").alias("_k"))
+    a = a.withColumn("_new", F.when(F.col("s0") - F.lag("s1").over(w) > gap, 1).otherwise(0)).withColumn("_c", F.sum("_new").over(w))
+    c = a.groupBy("path_id", "_k", "_c").agg(F.min("step_rank").alias("start_step"), F.max("step_rank").alias("_z"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
+    c = c.withColumn("_last", F.max("_c").over(Window.partitionBy("path_id", "_k")))
+    edge = (F.col("_c") == 0) | (F.col("_c") == F.col("_last"))
+    p = Window.partitionBy("path_id").orderBy("start_step")
+    split = c.where(edge).withColumn("_new", F.when(F.col("s0") - F.lag("s1").over(p) > gap, 1).otherwise(0)).withColumn("_i", F.sum("_new").over(p))
+    split = split.groupBy("path_id", "_i").agg(F.min("start_step").alias("start_step"), F.max("_z").alias("_z"))
+    both = c.where(~edge).select("path_id", "start_step", "_z").unionByName(split.select("path_id", "start_step", "_z"))
+    return both.select("path_id", "start_step", (F.col("_z") - F.col("start_step") + 1).alias("step_count"))
 
 
 def run_nodes(steps: DataFrame, runs: DataFrame) -> DataFrame:

@@ -18,25 +18,35 @@ def bfs(links: DataFrame, seeds: DataFrame, max_nodes: int | None = None, max_de
 
     Levels are complete ones; within a level nodes come by the position of their first parent, then the ordinal of the link,
     then the name. The search stops at max_nodes nodes; more seeds than that, and seeds that are not among `nodes`, are errors.
-    Each level joins only its frontier to the links, and cuts the lineage.
+    Each level joins only its frontier to the links, and cuts the lineage. Only a limit needs the order within a level: of a capped search at
+    most max_nodes rows a level are ranked, the first ones being picked by all tasks; without a limit position is null.
     """
     start = seeds.select("node").distinct()
     if nodes is not None:
         unknown = start.join(nodes.select("node"), "node", "left_anti").limit(1).collect()
         if unknown:
             raise ValueError(f"unknown node {unknown[0].node!r}")
-    found = cut(start.withColumn("level", F.lit(0)).withColumn("position", (F.row_number().over(Window.orderBy("node")) - 1).cast("long")))
+    capped = max_nodes is not None
+    first = (F.row_number().over(Window.orderBy("node")) - 1).cast("long") if capped else F.lit(None).cast("long")
+    found = start.withColumn("level", F.lit(0))
+    found = cut((found.orderBy("node").limit(max_nodes + 1) if capped else found).withColumn("position", first))
     count = frontier_size = found.count()
     if max_nodes is not None and count > max_nodes:
-        raise ValueError(f"{count} start nodes exceed the limit of {max_nodes}")
-    adjacent = undirected(links)
+        raise ValueError(f"the start nodes exceed the limit of {max_nodes}")
+    # Without a limit most links are met, at every level: their ends are written once.
+    adjacent = undirected(links) if capped else cut(undirected(links).select("node", "nbr").distinct())
     frontier, level = found, 0
     while frontier_size and (max_nodes is None or count < max_nodes) and (max_depth is None or level < max_depth):
         level += 1
-        step = frontier.select("node", "position").join(adjacent, "node").groupBy("nbr").agg(F.min(F.struct("position", "ordinal")).alias("_by"))
-        new = step.withColumnRenamed("nbr", "node").join(found.select("node"), "node", "left_anti")
-        new = new.withColumn("level", F.lit(level)).withColumn("position", (F.row_number().over(Window.orderBy("_by", "node")) - 1 + count).cast("long")).drop("_by")
-        frontier = cut(new if max_nodes is None else new.where(F.col("position") < max_nodes))
+        met = frontier.select("node", "position").join(adjacent, "node")
+        step = met.groupBy(F.col("nbr").alias("_node")).agg(F.min(F.struct("position", "ordinal")).alias("_by")) if capped else met.select(F.col("nbr").alias("_node")).distinct()
+        new = step.withColumnRenamed("_node", "node").join(found.select("node"), "node", "left_anti")
+        if capped:
+            new = new.orderBy("_by", "node").limit(max_nodes - count)
+            new = new.withColumn("level", F.lit(level)).withColumn("position", (F.row_number().over(Window.orderBy("_by", "node")) - 1 + count).cast("long")).drop("_by")
+        else:
+            new = new.withColumn("level", F.lit(level)).withColumn("position", F.lit(None).cast("long"))
+        frontier = cut(new)
         frontier_size = frontier.count()
         found = found.unionByName(frontier)  # of tables that are cut already; every few levels they are made one
         if level % 8 == 0:

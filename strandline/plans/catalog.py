@@ -59,7 +59,10 @@ def links_scan(v):
 
 @query("a_step", "select path_id, step_rank, node, is_reverse from a_step")
 def steps_scan(v):
-    return v.steps
+    lines = S.full_lines(v.paths, v.steps).select(F.col("path_id").alias("ordinal"), F.col("line").alias("value"))
+    parsed = gfa.parse_path_lines(lines)
+    order = gfa.parse_paths(parsed).select("path_id", F.substring("name", 2, 20).cast("long").alias("order"))
+    return gfa.parse_steps(parsed).join(order, "path_id").select(F.col("order").alias("path_id"), "step_rank", "node", "is_reverse")
 
 
 @query("w_path a_loc", f"select 'P' || chr(9) || 'o' || path_id || chr(9) || string_agg(node || {SIGN}, ',' order by step_rank) || chr(9) || '*' as line from a_step group by path_id union all select 'W' || chr(9) || c || chr(9) || '0' || chr(9) || c || chr(9) || seq_start || chr(9) || seq_end || chr(9) || string_agg(case when is_reverse then '<' else '>' end || node, '' order by step_rank) as line from a_step join w_path using (path_id) group by path_id, c, seq_start, seq_end")
@@ -207,7 +210,7 @@ def node_subpaths(v):
 
 @query("a_loc", f"with {RUNS} select path_id, start_step, 'P' || chr(9) || 'o' || path_id || ':' || min(s0) || '-' || max(s1) || chr(9) || string_agg(node || {SIGN}, ',' order by step_rank) || chr(9) || '*' as line from runs join a_loc using (path_id) where step_rank >= start_step and step_rank < start_step + step_count group by path_id, start_step")
 def node_subpaths_coords(v):
-    return S.located_subpath_lines(v.paths, v.located, S.node_runs(v.steps, picked(v))).select("path_id", "start_step", "line")
+    return S.located_lines(v.paths, S.posting_runs(v.located, picked(v))).select("path_id", "start_step", "line")
 
 
 @query("a_loc w_path", f"with {RUNS} select path_id, start_step, 'W' || chr(9) || c || chr(9) || '0' || chr(9) || c || '#subpath_' || start_step || '_' || (start_step + step_count - 1) || chr(9) || '*' || chr(9) || '*' || chr(9) || string_agg(case when is_reverse then '<' else '>' end || node, '' order by step_rank) as line from runs join a_step using (path_id) join w_path using (path_id) where step_rank >= start_step and step_rank < start_step + step_count group by path_id, start_step, step_count, c")
@@ -256,10 +259,13 @@ def path_loops(v):
 # --- coordinates -----------------------------------------------------------------------------------------------------
 
 
-def walk_tracks(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Tracks and entries of all walks."""
-    placed = T.placed_paths(v.walks)
-    entries = T.path_entries(v.located, placed)
+def walk_tracks(v: Views, sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tracks and entries of all walks, or of those on one sequence: then only their steps are measured."""
+    walks, steps = v.walks, v.located
+    if sequence is not None:
+        walks, steps = _on_sequence(v, sequence)
+    placed = T.placed_paths(walks)
+    entries = T.path_entries(steps, placed)
     n = entries.groupBy("path_id").agg(F.count("*").alias("entry_count"))
     tracks = placed.join(n, "path_id").select(F.col("path_id").alias("track_id"), "source_type", "name", *T.KEY, "seq_start", "seq_end", "entry_count")
     return tracks, entries.withColumnRenamed("path_id", "track_id")
@@ -294,15 +300,23 @@ def _first_sequence(v: Views) -> str:
     return v.walks.agg(F.min("seq_id").alias("s")).first().s
 
 
+def _on_sequence(v: Views, sequence: str) -> tuple[DataFrame, DataFrame]:
+    """The walks on a sequence and their located steps."""
+    walks = v.walks.where(F.col("seq_id") == sequence)
+    return walks, P.located(v.steps.join(walks.select("path_id"), "path_id", "left_semi"), v.segments)
+
+
 @query("a_loc w_path", f"select distinct path_id as track_id, step_rank as step, node from a_loc join w_path using (path_id) where c = {FIRST} and seq_start + s0 < 400 and seq_start + s1 > 90")
 def region_nodes(v):
-    tracks, entries = walk_tracks(v)
-    return T.region_entries(tracks, entries, _first_sequence(v), 90, 400).select("track_id", "step", "node")
+    name = _first_sequence(v)
+    tracks, entries = walk_tracks(v, name)
+    return T.region_entries(tracks, entries, name, 90, 400).select("track_id", "step", "node")
 
 
 @query("a_loc w_path", f"select path_id, step_rank as step, seq_start + s0 as start, seq_start + s1 as \"end\", node from a_loc join w_path using (path_id) where c = {FIRST} and seq_start + s0 < 400 and seq_start + s1 > 90")
 def region_nodes_onthefly(v):
-    return T.region_on_the_fly(v.walks, v.located, _first_sequence(v), 90, 400)
+    name = _first_sequence(v)
+    return T.region_on_the_fly(*_on_sequence(v, name), name, 90, 400)
 
 
 @query("r_frag", "select node, start from r_frag where sequence = (select min(sequence) from r_frag) and start < 150 and \"end\" > 40")
@@ -312,13 +326,12 @@ def region_segments(v):
     return f.where((F.col("sequence") == name) & T.overlaps(F.col("start"), F.col("end"), 40, 150)).select("node", "start")
 
 
-@query("w_path", "select 'W' as source, c as reference, 0::bigint as haplotype, c as sequence, seq_start::varchar as start, seq_end::varchar as \"end\", n as entries, case when path_id % 3 = 0 then 'on_the_fly' when path_id % 3 = 1 then 'stale_cdx' else 'cdx' end as coordinate_access from w_path")
+@query("w_path", "select 'W' as source, c as reference, 0::bigint as haplotype, c as sequence, seq_start::varchar as start, seq_end::varchar as \"end\", case when path_id % 3 = 1 then n + 1 else n end as entries, case when path_id % 3 = 0 then 'on_the_fly' when path_id % 3 = 1 then 'stale_cdx' else 'cdx' end as coordinate_access from w_path")
 def list_coordinates(v):
     tracks = walk_tracks(v)[0].where("track_id % 3 <> 0")
     stale = tracks.withColumn("entry_count", F.when(F.col("track_id") % 3 == 1, F.col("entry_count") + 1).otherwise(F.col("entry_count")))
     counts = v.steps.groupBy("path_id").agg(F.count("*").alias("step_count"))
-    out = T.list_coordinates(v.walks, stale, counts)
-    return out.withColumn("entries", F.when(F.col("coordinate_access") == "stale_cdx", F.col("entries") - 1).otherwise(F.col("entries")))
+    return T.list_coordinates(v.walks, stale, counts)
 
 
 # --- all haplotypes of a region --------------------------------------------------------------------------------------

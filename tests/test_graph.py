@@ -9,7 +9,7 @@ import pytest
 from strandline.graph import GenomeGraph, index_graph
 from strandline.operators import communities as C
 from strandline.operators import convert as V
-from strandline.operators import emit, subpaths, tracks, validate
+from strandline.operators import emit, haplotypes, subpaths, tracks, validate
 from strandline.operators.prefix import checkpoints, length_before
 from strandline.sources import gfa
 
@@ -171,6 +171,34 @@ def test_checkpoints_and_lengths(spark):
     assert {(r.path_id, r.step): r.cumulative for r in length_before(g.steps, marks, points, 2).collect()} == {(1, 3): 9, (1, 6): 21, (0, 0): 0}
 
 
+def test_runs_and_clusters_across_strides(spark, monkeypatch):
+    """Long paths in strides of a few steps give the runs, clusters and joined steps of one piece."""
+    import random
+
+    rng = random.Random(1)
+    rows, at = [], {p: 0 for p in range(3)}
+    for p in range(3):
+        for k in range(300):
+            n = rng.randrange(1, 9)
+            rows.append((p, k, f"n{rng.randrange(4)}", at[p], at[p] + n))
+            at[p] += n
+    steps = spark.createDataFrame(rows, "path_id long, step_rank long, node string, s0 long, s1 long").checkpoint()
+    nodes = spark.createDataFrame([("n0",), ("n1",), ("n2",)], "node string")
+    picked = {(p, k) for p, k, n, *_ in rows if n != "n3"}
+    starts = [(p, k) for p, k in sorted(picked) if (p, k - 1) not in picked]
+    want = {(p, k, next(j for j in range(k, 301) if (p, j) not in picked) - k) for p, k in starts}
+    key = lambda d: {tuple(r) for r in d.select("path_id", "start_step", "step_count").collect()}
+    monkeypatch.setattr(subpaths, "JOINED", 7)
+    some = subpaths.postings(steps, nodes)
+    for stride in (4, 1000):
+        assert key(subpaths.step_islands(some, stride)) == want
+    got = sorted((r.path_id, r.step_rank, r.start_step) for r in subpaths.posting_runs(steps, nodes).collect())
+    assert got == sorted((p, k + i, k) for p, k, n in want if n > 1 for i in range(n))
+    anchors = steps.where("node = 'n3'")
+    one = key(haplotypes.cluster_runs(anchors, 12, 1000))
+    assert len(one) > 30 and key(haplotypes.cluster_runs(anchors, 12, 4)) == one == key(haplotypes.cluster_runs(anchors, 12, 30))
+
+
 def test_runs_of_one_step_are_dropped_and_overlaps_sliced(spark):
     g = graph(spark, [*(f"S\t{x}\tAC" for x in "ABC"), "P\tp\tA+;B+;C-\t4M,3M\tTP:Z:x", "P\tq\tA+\t*"])
     wanted = spark.createDataFrame([("A",), ("C",)], "node string")
