@@ -283,6 +283,18 @@ def test_contracted_communities(spark):
         C.detect(links, driver_edges=40, rounds=0)
 
 
+def test_blocks_of_communities(spark):
+    """Blocks cost a graph of cliques nothing: moves count the whole graph's degrees, and the cliques come out as in one task. The driver collects no edge and no node."""
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "pqrstu" for i in range(6) for j in range(i)] + [(f"{a}0", f"{b}5") for a, b in zip("pqrstu", "qrstup")]
+    links = spark.createDataFrame(pairs, "src string, dst string").checkpoint()
+    for limit in (40, 80):
+        groups = {}
+        for r in C.detect(links, driver_edges=limit).collect():
+            groups.setdefault(r.community_id, set()).add(r.node)
+        assert sorted(map(sorted, groups.values())) == [[f"{g}{i}" for i in range(6)] for g in "pqrstu"]
+        assert sorted(groups) == list(range(6))
+
+
 def test_communities(spark):
     lines = [*(f"S\t{x}\tA" for x in "abcdefz"), *(f"L\t{a}\t+\t{b}\t+\t0M" for a, b in ("ab", "bc", "ca", "cd", "de", "ef", "fd"))]
     g = gfa.parse(gfa.records_of(spark, lines))
