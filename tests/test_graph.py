@@ -295,6 +295,28 @@ def test_blocks_of_communities(spark):
         assert sorted(groups) == list(range(6))
 
 
+def test_refine_all_at_once(spark, monkeypatch):
+    """Each oversized community is split by its own edges, however many there are, in one pass; the first part keeps the id, nodes without edges stay."""
+    names = [f"{g}{i}" for g in "abcdefgh" for i in range(4)]
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "abcdefgh" for i in range(4) for j in range(i)] + [(f"{a}0", f"{b}0") for a, b in zip("abcdefg", "bcdefgh")]
+    links = spark.createDataFrame(pairs, "src string, dst string").checkpoint()
+    real, cuts = C.cut, []
+    monkeypatch.setattr(C, "cut", lambda d: cuts.append(1) or real(d))
+    counts = []
+    for width in (16, 8):
+        given = spark.createDataFrame([(n, i // width) for i, n in enumerate(names)] + [("lone", 0), ("few", 9)], "node string, community_id long").checkpoint()
+        cuts.clear()
+        groups = {}
+        for r in C.refine_oversized(given, links, 8).collect():
+            groups.setdefault(r.community_id, set()).add(r.node)
+        counts.append(len(cuts))
+        assert groups.pop(9) == {"few"} and len(groups) == 8 and "lone" in groups[0]
+        assert sorted(groups) == sorted([*range(32 // width), *range(10, 10 + 8 - 32 // width)])
+        assert sorted(map(sorted, (g - {"lone"} for g in groups.values()))) == [[f"{g}{i}" for i in range(4)] for g in "abcdefgh"]
+        assert {"a0", "a3"} <= groups[0]
+    assert counts[0] == counts[1]
+
+
 def test_communities(spark):
     lines = [*(f"S\t{x}\tA" for x in "abcdefz"), *(f"L\t{a}\t+\t{b}\t+\t0M" for a, b in ("ab", "bc", "ca", "cd", "de", "ef", "fd"))]
     g = gfa.parse(gfa.records_of(spark, lines))
