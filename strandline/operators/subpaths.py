@@ -141,8 +141,13 @@ def located_lines(paths: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def full_lines(paths: DataFrame, steps: DataFrame) -> DataFrame:
-    """(path_id, line): each path's whole record."""
-    t = step_text(steps, ["path_id"]).join(paths, "path_id")
-    p = F.concat_ws("\t", F.lit("P"), "name", "p_steps", F.coalesce(F.col("overlaps"), F.lit("*")))
-    w = F.concat_ws("\t", F.lit("W"), "sample", F.col("hap").cast("string"), "seq_id", _star(F.col("seq_start")), _star(F.col("seq_end")), "w_steps")
+    """(path_id, line): each path's whole record. Steps are gathered and put in order once, and spelled as the record needs; of a path that has
+    several records each gets its line."""
+    in_order = F.array_sort(F.collect_list(F.struct("step_rank", "node", "is_reverse"))).alias("_steps")
+    t = steps.groupBy("path_id").agg(in_order).join(paths, "path_id")
+    spelled = lambda f, separator: F.array_join(F.transform("_steps", f), separator)
+    p_steps = spelled(lambda x: F.concat(x["node"], F.when(x["is_reverse"], "-").otherwise("+")), ",")
+    w_steps = spelled(lambda x: F.concat(F.when(x["is_reverse"], "<").otherwise(">"), x["node"]), "")
+    p = F.concat_ws("\t", F.lit("P"), "name", p_steps, F.coalesce(F.col("overlaps"), F.lit("*")))
+    w = F.concat_ws("\t", F.lit("W"), "sample", F.col("hap").cast("string"), "seq_id", _star(F.col("seq_start")), _star(F.col("seq_end")), w_steps)
     return t.select("path_id", F.concat(F.when(F.col("record_type") == "P", p).otherwise(w), _tail(F.col("tags"))).alias("line"))

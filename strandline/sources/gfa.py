@@ -25,16 +25,20 @@ def records_of(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, x) for i, x in enumerate(lines) if x], "ordinal long, value string")
 
 
+#: Lines that one window partition numbers at most, as a power of two.
+NUMBERED = 14
+
+
 def dense_index(df: DataFrame, order: str, name: str) -> DataFrame:
     """Adds 0, 1, 2 ... in the order of a unique long column that monotonically_increasing_id() made or that counts lines.
 
-    The high bits are the partition: partitions are counted, their counts added up, and rows numbered within partitions (of at
-    most 2**20 lines), so no task sees all rows."""
-    part = F.shiftright(F.col(order), 20).alias("_part")
+    Lines are counted by stretches of 2**NUMBERED numbers, the counts added up, and rows numbered within stretches, so no task sees all
+    rows and the sum over stretches is short."""
+    part = F.shiftright(F.col(order), NUMBERED).alias("_part")
     n = df.groupBy(part).count()
     base = n.select(F.col("_part"), F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    d = df.withColumn("_part", F.shiftright(F.col(order), 20))
-    d = d.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).join(base, "_part")
+    d = df.withColumn("_part", F.shiftright(F.col(order), NUMBERED))
+    d = d.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).join(F.broadcast(base), "_part")
     return d.withColumn(name, (F.col("_base") + F.col("_row")).cast("long")).drop("_part", "_row", "_base")
 
 

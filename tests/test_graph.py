@@ -5,6 +5,7 @@ from __future__ import annotations
 from copy import copy
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.graph import GenomeGraph, index_graph
 from strandline.operators import communities as C
@@ -243,6 +244,19 @@ def test_walks_to_paths(spark):
         V.walks_to_paths(gfa.parse_paths(gfa.parse_path_lines(gfa.records_of(spark, [lines[1], lines[1]]))))
 
 
+def test_full_lines_gather_once(spark):
+    """Steps are gathered once for both spellings, and for every record of a path; line numbers are dense over many stretches."""
+    paths = gfa.parse_paths(gfa.parse_path_lines(gfa.records_of(spark, ["P\tp\t1+,2-\t*", "W\ts\t0\tq\t3\t9\t>1<2"]))).withColumn("path_id", F.lit(0).cast("long"))
+    steps = spark.createDataFrame([(0, 1, "2", True), (0, 0, "1", False)], "path_id long, step_rank long, node string, is_reverse boolean")
+    lines = subpaths.full_lines(paths, steps)
+    assert sorted(r.line for r in lines.collect()) == ["P\tp\t1+,2-\t*", "W\ts\t0\tq\t3\t9\t>1<2"]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+    n = 3 * 2**gfa.NUMBERED
+    far = spark.range(n).select((F.col("id") * 3 + F.when(F.col("id") % 2 == 0, 0).otherwise(1 << 40)).alias("o"))
+    got = gfa.dense_index(far, "o", "i").agg(F.countDistinct("i").alias("n"), F.max("i").alias("last"), F.max_by("i", "o").alias("top"), F.min_by("i", "o").alias("first")).first()
+    assert tuple(got) == (n, n - 1, n - 1, 0)
+
+
 def test_store_and_chunks(spark, tmp_path):
     source = tmp_path / "g.gfa"
     source.write_text("\n".join([*repeated(), "S\tlone\tACGT"]) + "\n")
