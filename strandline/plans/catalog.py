@@ -305,9 +305,9 @@ def _first_sequence(v: Views) -> str:
 
 
 def _on_sequence(v: Views, sequence: str) -> tuple[DataFrame, DataFrame]:
-    """The walks on a sequence and their located steps."""
-    walks = v.walks.where(F.col("seq_id") == sequence)
-    return walks, P.located(v.steps.join(walks.select("path_id"), "path_id", "left_semi"), v.segments)
+    """The walks on a sequence and their located steps, written once: a region query reads them many times."""
+    one = v.on_sequence(sequence)
+    return one.walks, one.located
 
 
 @query("a_loc w_path", f"select distinct path_id as track_id, step_rank as step, node from a_loc join w_path using (path_id) where c = {FIRST} and seq_start + s0 < 400 and seq_start + s1 > 90")

@@ -16,6 +16,10 @@ from ..sources.gfa import Graph
 from .lineage import cut
 
 
+#: Rows of keys that are sent to every task instead of dealing out the table they are looked up in.
+FEW = 65_536
+
+
 def _null(kind: str):
     return F.lit(None).cast(kind)
 
@@ -32,9 +36,20 @@ def consecutive_links(steps: DataFrame) -> DataFrame:
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._given: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._given[name] if name in self._given else self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def on_sequence(self, sequence: str) -> Views:
+        """These views of one sequence's walks: its orders and their lines are picked before anything is computed of them, and written once,
+        as are the walks and the located steps. Nothing is looked up again in the whole tables but segments."""
+        v = Views(self.spark, self.dir)
+        orders = v._given["orders"] = cut(self.table("orders").where(F.concat(F.lit("c"), "o_custkey") == sequence))
+        keys = orders.select(F.col("o_orderkey").alias("l_orderkey")).distinct()
+        v._given["lineitem"] = cut(self.table("lineitem").join(F.broadcast(keys) if orders.count() <= FEW else keys, "l_orderkey", "left_semi"))
+        v.walks, v.located = cut(v.walks), cut(v.located)
+        return v
 
     @cached_property
     def segments(self) -> DataFrame:

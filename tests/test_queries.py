@@ -71,6 +71,22 @@ def test_bfs_without_limit(spark, monkeypatch):
     assert got == brute_levels(chain, "p0") and max(got.values()) == 12
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_region_reads_its_sequence_only(spark):
+    """A region's checks, some eight of them, read the sequence's written walks and steps, not the whole tables again."""
+    from strandline.plans.views import Views
+
+    v = Views(spark, str(DATA))
+    name = catalog._first_sequence(v)
+    walks, steps = catalog._on_sequence(v, name)
+    for d in (walks, steps):
+        assert "parquet" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+    paths = v.walks.where(v.walks.seq_id == name)
+    assert sorted(r.name for r in walks.collect()) == sorted(r.name for r in paths.collect())
+    want = v.located.join(paths.select("path_id"), "path_id", "left_semi")
+    assert {tuple(r) for r in steps.select(want.columns).collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "haplotype_region" in entry.queries()
