@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-
-def undirected(links: DataFrame) -> DataFrame:
-    """(node, nbr, ordinal) both ways; orientation is ignored."""
-    return links.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "ordinal").unionByName(links.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "ordinal"))
+#: Nodes of a frontier that are sent to every task instead of dealing out the links by node.
+FEW = 65_536
 
 
 def bfs(links: DataFrame, seeds: DataFrame, max_nodes: int | None = None, max_depth: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
@@ -18,7 +16,7 @@ def bfs(links: DataFrame, seeds: DataFrame, max_nodes: int | None = None, max_de
 
     Levels are complete ones; within a level nodes come by the position of their first parent, then the ordinal of the link,
     then the name. The search stops at max_nodes nodes; more seeds than that, and seeds that are not among `nodes`, are errors.
-    Each level joins only its frontier to the links, and cuts the lineage. Only a limit needs the order within a level: of a capped search at
+    The links' ends are written once. Each level sends its frontier to them, or meets them by a shuffle if it has over FEW nodes, and cuts the lineage. Only a limit needs the order within a level: of a capped search at
     most max_nodes rows a level are ranked, the first ones being picked by all tasks; without a limit position is null.
     """
     start = seeds.select("node").distinct()
@@ -33,12 +31,15 @@ def bfs(links: DataFrame, seeds: DataFrame, max_nodes: int | None = None, max_de
     count = frontier_size = found.count()
     if max_nodes is not None and count > max_nodes:
         raise ValueError(f"the start nodes exceed the limit of {max_nodes}")
-    # Without a limit most links are met, at every level: their ends are written once.
-    adjacent = undirected(links) if capped else cut(undirected(links).select("node", "nbr").distinct())
+    ends = cut(links.select("src", "dst", "ordinal") if capped else links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     frontier, level = found, 0
     while frontier_size and (max_nodes is None or count < max_nodes) and (max_depth is None or level < max_depth):
         level += 1
-        met = frontier.select("node", "position").join(adjacent, "node")
+        edge = frontier.select(F.col("node").alias("_from"), "position")
+        edge = F.broadcast(edge) if frontier_size <= FEW else edge
+        by = ["position", "ordinal"] if capped else []
+        met = ends.join(edge, F.col("src") == F.col("_from")).select(F.col("dst").alias("nbr"), *by)
+        met = met.unionByName(ends.join(edge, F.col("dst") == F.col("_from")).select(F.col("src").alias("nbr"), *by))
         step = met.groupBy(F.col("nbr").alias("_node")).agg(F.min(F.struct("position", "ordinal")).alias("_by")) if capped else met.select(F.col("nbr").alias("_node")).distinct()
         new = step.withColumnRenamed("_node", "node").join(found.select("node"), "node", "left_anti")
         if capped:

@@ -71,6 +71,32 @@ def test_bfs_without_limit(spark, monkeypatch):
     assert got == brute_levels(chain, "p0") and max(got.values()) == 12
 
 
+@pytest.mark.parametrize("few", [65_536, 0])
+def test_bfs_writes_links_once(spark, monkeypatch, few):
+    """Every level reads the written links: the links' own plan is run once, whatever the depth and however frontiers meet them; repeats of links change nothing."""
+    from strandline.operators import traverse
+
+    monkeypatch.setattr(traverse, "FEW", few)
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n2", "x"), ("n1", "n1"), ("n1", "y"), ("y", "n2")]
+    rows = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(chain)], "src string, dst string, ordinal long").checkpoint()
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    links = rows.unionByName(rows).mapInArrow(seen, rows.schema)
+    seeds = spark.createDataFrame([("n0",)], "node string")
+    for limit in (None, 100):
+        before = reads.value
+        got = traverse.bfs(links, seeds, max_nodes=limit).orderBy("level", "position", "node").collect()
+        assert {r.node: r.level for r in got} == brute_levels(chain, "n0")
+        assert reads.value - before == 2 * len(chain)
+        if limit:
+            assert [r.node for r in got] == ["n0", "n1", "n2", "y", "n3", "x", "n4", "n5", "n6"] and [r.position for r in got] == list(range(9))
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
 def test_region_reads_its_sequence_only(spark):
     """A region's checks, some eight of them, read the sequence's written walks and steps, not the whole tables again."""
