@@ -18,7 +18,7 @@ from ..operators import tracks as T
 from ..operators import traverse as X
 from ..sources import gfa, store
 from .lineage import cut
-from .views import Views, sql
+from .views import Views, consecutive_pairs, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -416,7 +416,8 @@ def bfs_all(v):
 
 @query()
 def bfs_capped(v):
-    return X.bfs(v.links, v.spark.createDataFrame([("p0",), ("p7",)], "node string"), max_nodes=100, nodes=v.segments)
+    """Over the links with repeats: a repeat has its link's ordinal, so the order is the same, and nothing need be made distinct first."""
+    return X.bfs(consecutive_pairs(v.steps), v.spark.createDataFrame([("p0",), ("p7",)], "node string"), max_nodes=100, nodes=v.segments)
 
 
 @query("half", "select node, side, nbr, nbr_side from half")

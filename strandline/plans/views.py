@@ -24,13 +24,21 @@ def _null(kind: str):
     return F.lit(None).cast(kind)
 
 
-def consecutive_links(steps: DataFrame) -> DataFrame:
-    """Distinct oriented pairs of consecutive steps, with an ordinal by their text."""
+def consecutive_pairs(steps: DataFrame) -> DataFrame:
+    """Oriented pairs of consecutive steps, one for each place where they stand, with an ordinal by their text."""
     w = Window.partitionBy("path_id").orderBy("step_rank")
     sign = lambda c: F.when(c, "-").otherwise("+")
     d = steps.select(F.col("node").alias("src"), sign(F.col("is_reverse")).alias("src_orient"), F.lead("node").over(w).alias("dst"), F.lead(sign(F.col("is_reverse"))).over(w).alias("dst_orient"))
-    d = d.where("dst is not null").distinct()
-    return d.select("*", F.lit("0M").alias("overlap"), F.xxhash64("src", "src_orient", "dst", "dst_orient").alias("ordinal"), F.concat_ws("\t", F.lit("L"), "src", "src_orient", "dst", "dst_orient", F.lit("0M")).alias("raw"))
+    return _numbered(d.where("dst is not null"))
+
+
+def _numbered(pairs: DataFrame) -> DataFrame:
+    return pairs.select("src", "src_orient", "dst", "dst_orient", F.lit("0M").alias("overlap"), F.xxhash64("src", "src_orient", "dst", "dst_orient").alias("ordinal"), F.concat_ws("\t", F.lit("L"), "src", "src_orient", "dst", "dst_orient", F.lit("0M")).alias("raw"))
+
+
+def consecutive_links(steps: DataFrame) -> DataFrame:
+    """Distinct oriented pairs of consecutive steps, with an ordinal by their text."""
+    return _numbered(consecutive_pairs(steps).select("src", "src_orient", "dst", "dst_orient").distinct())
 
 
 class Views:
